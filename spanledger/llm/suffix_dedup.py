@@ -1,2 +1,328 @@
-def suffix_dedup(docs):
-    raise NotImplementedError
+"""Operator 4: removal of repeated byte strings by distributed prefix doubling.
+
+A byte goes if it lies in a string of LENGTH bytes that also starts earlier in the corpus. To
+know this, every position must be ranked by the LENGTH bytes from it. Doubling ranks all
+positions by short strings first, sorts the pairs of ranks at growing offsets and ranks
+anew, until a position is unique or the pairs reach LENGTH. Here:
+
+1. Of every LENGTH-byte window the anchor is the BASE-byte string in it with the smallest
+   hash; equal windows have equal anchors at equal places. Spark sorts the anchors by rank
+   (the hash of the BASE bytes), then by the rank of their context, all windows of the anchor,
+   then by position. An anchor with a unique rank is done, and so are all its windows. A
+   context that was seen earlier has seen windows only.
+2. A first context stays only with the windows whose half reaches a rank at the doubled
+   offset that another first context of the anchor shares: the bytes right of the anchor for
+   windows that begin near it, those left of it for the others.
+3. What is left is taken window by window, sorted by the rank at LENGTH and by position;
+   every window but the first of its rank was seen earlier.
+
+Ranks are hashes of 64 bits that are compared in pairs, and sorting is by range partitions,
+so that a rank shared by a third of all positions is spread over many tasks. A group that
+reaches over the edge of a partition keeps its windows for step 3, and there the edges are
+settled from each partition's first and last rank.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import fresh_dir
+
+LENGTH, BASE = 100, 24
+#: Reach of the doubled rank right of an anchor's start; the rest of LENGTH lies left of it.
+REACH = 62
+#: Bytes worked on at once, and first contexts of an anchor that are compared in memory.
+PIECE, HELD = 1 << 21, 100_000
+NO_ID = -(1 << 63)
+# Any odd multipliers do.
+ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
+
+
+def doubled(data: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the strings of 1, 2, 4 ... 64 bytes from each position, each from two of the one before."""
+    out = [(data.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD[0])]
+    for k in range(6):
+        half = 1 << k
+        low, high = out[-1][: len(out[-1]) - half], out[-1][half:]
+        value = low * np.uint64(ODD[k + 1]) + (high ^ (high >> np.uint64(29)))
+        out.append(value ^ (value >> np.uint64(32)))
+    return out
+
+
+def ranks(powers: list[np.ndarray], length: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` bytes from each position."""
+    out, at = None, 0
+    for k in range(6, -1, -1):
+        if length >> k & 1:
+            if out is None:
+                out = powers[k]
+            else:
+                n = max(0, min(len(out), len(powers[k]) - at))
+                out = out[:n] * np.uint64(0xD6E8FEB86659FD93) + powers[k][at : at + n]
+            at += 1 << k
+    return out ^ (out >> np.uint64(31))
+
+
+def smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Index of the smallest of each ``width`` neighbours, the first of equal ones."""
+    value, index, step = values, np.arange(len(values)), 1
+    while step < width:
+        move = min(step, width - step)
+        low, high = value[: len(value) - move], value[move:]
+        later = high < low
+        index = np.where(later, index[move:], index[: len(index) - move])
+        value = np.where(later, high, low)
+        step += move
+    return index
+
+
+def pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, starts, documents' numbers, offsets): texts laid end to end; long ones cut with LENGTH - 1 bytes twice."""
+    held, numbers, offsets, size = [], [], [], 0
+
+    def flush():
+        starts = np.cumsum([0, *map(len, held)])
+        return np.frombuffer(b"".join(held), np.uint8), starts, np.array(numbers), np.array(offsets)
+
+    for number, text in enumerate(texts):
+        for at in range(0, max(len(text) - LENGTH + 1, 0), PIECE):
+            part = text[at : at + PIECE + LENGTH - 1]
+            if held and size + len(part) > PIECE:
+                yield flush()
+                held, numbers, offsets, size = [], [], [], 0
+            held.append(part)
+            numbers.append(number)
+            offsets.append(at)
+            size += len(part)
+    if held:
+        yield flush()
+
+
+def _encoded(texts) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each anchor of each document: rank, context, doc, first window, windows, place in the first window, halves' ranks."""
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy(np.int64)
+        for data, starts, numbers, offsets in pieces(ids, _encoded(batch["text"])):
+            powers = doubled(data)
+            base, whole, right, left = (ranks(powers, n) for n in (BASE, LENGTH, REACH, LENGTH - REACH))
+            anchor = smallest(base, LENGTH - BASE + 1)
+            part = np.repeat(np.arange(len(numbers)), np.diff(starts))[: len(anchor)]
+            valid = np.arange(len(anchor)) <= starts[part + 1] - LENGTH
+            where = np.flatnonzero(valid)
+            anchor, part = anchor[where], part[where]
+            change = np.ones(len(where), bool)
+            change[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(change)
+            last = np.append(first[1:], len(where)) - 1
+            a, low, n = anchor[first], where[first], last - first + 1
+            place = a - low
+            context = whole[low] * np.uint64(ODD[1]) ^ whole[where[last]] * np.uint64(ODD[2])
+            context ^= (n.astype(np.uint64) * np.uint64(ODD[3])) ^ (place.astype(np.uint64) * np.uint64(ODD[4]))
+            reach = LENGTH - REACH
+            to_right = right[np.minimum(a, len(right) - 1)].astype(np.int64)
+            to_left = left[np.maximum(a - reach, 0)].astype(np.int64)
+            small = 0xFFF
+            own = part[first]
+            start = low - starts[own] + offsets[own]
+            # 31 bits of position, 7 each of windows and place, 9 each of the halves' ranks.
+            halves = ((to_right >> 20) & 0x1FF) << 9 | ((to_left >> 20) & 0x1FF)
+            yield pd.DataFrame(
+                {
+                    "rank": base[a].view(np.int64),
+                    "context": context.view(np.int64),
+                    "doc": ids[numbers[own]],
+                    "place": start.astype(np.int64) << 32 | n.astype(np.int64) << 25 | place.astype(np.int64) << 18 | halves,
+                }
+            )
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, bool, bool]]:
+    """Rows in which groups of equal keys are whole, with whether they begin or end the partition.
+
+    A group that outgrows HELD rows is given in several parts, each marked as an edge.
+    """
+    rest, begun = None, False
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        own = rest[keys].to_numpy()
+        change = np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1
+        if len(change):
+            yield rest.iloc[: change[-1]], not begun, False
+            rest, begun = rest.iloc[change[-1] :], True
+        elif len(rest) > HELD:
+            yield rest, True, True
+            rest, begun = None, False
+    if rest is not None and len(rest):
+        yield rest, not begun, True
+
+
+def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps 1 and 2 over sorted anchors: seen contexts, and windows of first contexts to compare one by one."""
+    for rows, begins, ends in _groups(batches, ["rank"]):
+        rank, context = rows["rank"].to_numpy(np.int64), rows["context"].to_numpy(np.int64)
+        doc, place = rows["doc"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
+        n, at, start = (place >> 25) & 0x7F, (place >> 18) & 0x7F, place >> 32
+        new_rank = np.ones(len(rows), bool)
+        new_rank[1:] = rank[1:] != rank[:-1]
+        new = new_rank.copy()
+        new[1:] |= context[1:] != context[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        same_place = (doc == doc[first]) & (start == start[first])
+        seen = ~new & ~same_place
+        yield pd.DataFrame({"doc": doc[seen], "start": start[seen], "n": n[seen].astype(np.int32), "rank": 0, "seen": True})
+        # First contexts whose rank has another context, or that stand at an edge.
+        group = np.cumsum(new_rank) - 1
+        contexts = np.bincount(group[new], minlength=group[-1] + 1)
+        edge = np.zeros(group[-1] + 1, bool)
+        edge[0] |= begins
+        edge[-1] |= ends
+        pick = new & ((contexts > 1) | edge)[group]
+        group, rank, doc, start, n, at, half = (x[pick] for x in (group, rank, doc, start, n, at, place & 0x3FFFF))
+        anyway = edge[group]
+        # A window of place p (its anchor's) holds REACH bytes from the anchor if p <= reach, else reach bytes before it.
+        reach = LENGTH - REACH
+        low_place = at - (n - 1)
+        for half_rank, low, high in ((half >> 9, low_place, np.minimum(at, reach)), (half & 0x1FF, np.maximum(low_place, reach + 1), at)):
+            key = group << 9 | half_rank
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            take = (high >= low) & (anyway | (count[back] > 1))
+            yield pd.DataFrame(
+                {
+                    "doc": doc[take],
+                    "start": (start + at - high)[take],
+                    "n": (high - low + 1)[take].astype(np.int32),
+                    "rank": rank[take],
+                    "seen": False,
+                }
+            )
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of each document's runs: rank, the whole window's rank, doc and position."""
+    for batch in batches:
+        for doc, text, runs in zip(batch["doc_id"], _encoded(batch["text"]), batch["runs"], strict=True):
+            runs = sorted((r["start"], r["n"], r["rank"]) for r in runs)
+            k = 0
+            while k < len(runs):  # runs close to each other share their bytes' hashes
+                stop, last = runs[k][0] + runs[k][1], k + 1
+                while last < len(runs) and runs[last][0] < stop + LENGTH and runs[last][0] - runs[k][0] < PIECE:
+                    stop = max(stop, runs[last][0] + runs[last][1])
+                    last += 1
+                low = runs[k][0]
+                whole = ranks(doubled(np.frombuffer(text, np.uint8)[low : stop + LENGTH - 1]), LENGTH)
+                own = np.array(runs[k:last], np.int64)
+                at = np.repeat(own[:, 0], own[:, 1]) + np.arange(own[:, 1].sum()) - np.repeat(np.cumsum(own[:, 1]) - own[:, 1], own[:, 1])
+                yield pd.DataFrame({"rank": np.repeat(own[:, 2], own[:, 1]), "whole": whole[at - low].view(np.int64), "doc": doc, "start": at})
+                k = last
+
+
+def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 3 over sorted windows: those that are not the first of their rank, and the partition's edges.
+
+    kind 0: seen earlier. Of each partition one row of kind 1 and one of kind 2, its first and
+    its last window.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    before = None
+    last = None
+    for rows in batches:
+        if not len(rows):
+            continue
+        own = rows[["rank", "whole", "doc", "start"]].to_numpy(np.int64)
+        if before is None:
+            yield pd.DataFrame([[1, part, *own[0]]], columns=["kind", "part", "rank", "whole", "doc", "start"])
+            before = own[0]
+        full = np.vstack([before, own])
+        new = np.ones(len(full), bool)
+        new[1:] = (full[1:, :2] != full[:-1, :2]).any(1)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(full)), 0))
+        seen = (full[:, :2] == full[first][:, :2]).all(1) & (full[:, 2:] != full[first][:, 2:]).any(1)
+        rows_ = full[1:][seen[1:]]
+        yield pd.DataFrame({"kind": 0, "part": part, "rank": 0, "whole": 0, "doc": rows_[:, 2], "start": rows_[:, 3]})
+        before = full[first[-1]]
+        last = own[-1]
+    if last is not None:
+        yield pd.DataFrame([[2, part, *last]], columns=["kind", "part", "rank", "whole", "doc", "start"])
+
+
+def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for doc, text, runs in zip(batch["doc_id"], _encoded(batch["text"]), batch["runs"], strict=True):
+            spans = merged(np.array(runs, np.int64)) if runs is not None and len(runs) else []
+            kept, at = hashlib.sha256(), 0
+            for low, high in spans:
+                kept.update(text[at:low])
+                at = high
+            kept.update(text[at:])
+            out.append((doc, len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def merged(runs: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal byte spans covered by runs of windows, each start << 32 | number of windows."""
+    runs = np.sort(runs)
+    low = runs >> 32
+    high = np.maximum.accumulate(low + (runs & 0xFFFFFFFF) + LENGTH - 1)
+    apart = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    return list(zip(low[apart].tolist(), high[np.append(apart[1:], len(runs)) - 1].tolist(), strict=True))
+
+
+def removed_runs(docs: DataFrame) -> DataFrame:
+    """(doc, start, n): windows that were seen earlier, as runs; docs has unique doc_id and text."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = fresh_dir(spark, "suffix")
+    order = ["rank", "context", "doc", "place"]
+    anchors = docs.select("doc_id", "text").mapInPandas(_anchors, "rank long, context long, doc long, place long")
+    ranked = anchors.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranked.mapInPandas(_kept, "doc long, start long, n int, rank long, seen boolean").write.parquet(f"{folder}/anchors")
+    ranked = spark.read.parquet(f"{folder}/anchors")
+    open_ = ranked.where("not seen").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
+    windows = docs.join(open_, "doc_id").select("doc_id", "text", "runs").mapInPandas(_windows, "rank long, whole long, doc long, start long")
+    order = ["rank", "whole", "doc", "start"]
+    later = windows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    later.mapInPandas(_later, "kind int, part int, rank long, whole long, doc long, start long").write.parquet(f"{folder}/windows")
+    later = spark.read.parquet(f"{folder}/windows")
+    # Two rows of each partition: a first window is seen if the partition before ends with its rank.
+    edges = sorted((r["part"], r["kind"], r["rank"], r["whole"], r["doc"], r["start"]) for r in later.where("kind > 0").collect())
+    seen = [(e[4], e[5], 1) for before, e in zip(edges, edges[1:], strict=False) if e[1] == 1 and before[2:4] == e[2:4]]
+    single = later.where("kind = 0").select("doc", "start", F.lit(1).alias("n"))
+    seen_rows = spark.createDataFrame(seen, "doc long, start long, n int")
+    return ranked.where("seen").select("doc", "start", "n").unionByName(single).unionByName(seen_rows)
+
+
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, judged on the whole input.
+
+    Texts are taken as UTF-8, null as empty. Earlier means a smaller doc_id, or an earlier
+    start in the same document; rows without an id come first. Rows that repeat an id are one
+    document with the largest of their texts, and each carries its answer. Documents shorter
+    than 100 bytes lose nothing.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    times = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    repeated = not times.isEmpty()
+    if repeated:
+        rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+    runs = removed_runs(rows).groupBy(F.col("doc").alias("doc_id"))
+    runs = runs.agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("n").cast("long"))).alias("runs"))
+    out = rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInPandas(
+        _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+    if repeated:
+        again = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))
+        out = out.join(times, "doc_id", "left").withColumn("_again", again).drop("_again", "times")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
