@@ -137,16 +137,18 @@ def errors(text: Column) -> Column:
     return F.transform(tx.matches(text, lx.ERROR_LITERAL), lambda m: F.struct(m["start"].alias("start"), tx.rstrip(m["text"]).alias("text")))
 
 
-def _free_atoms(text: Column, role: Column, trusted: Column, untrusted: Column | None) -> Column:
-    """All atoms of a line that is neither labelled nor in a section; starts count from the stripped text."""
-    kind = classify(text, role, trusted, untrusted)
+def _free_atoms(untrusted: Column | None) -> Column:
+    """All atoms of a line that is neither labelled nor in a section; starts count from the stripped text.
+
+    Reads the columns body, free_kind and semis, each found once for the line.
+    """
+    text, kind, semis, role, trusted = (F.col(c) for c in ("body", "free_kind", "semis", "role", "may_state"))
     whole = F.array(atom(F.lit(0), text, kind))
-    semis = semicolon_clauses(text)
     split = F.filter(
         F.transform(semis, lambda p: atom(p["start"], p["text"], classify(p["text"], role, trusted, untrusted))), lambda a: a["kind"].isNotNull()
     )
     plain = F.when(kind.isNull(), F.array().cast(NONE)).otherwise(whole)
-    several = F.contains(text, F.lit(";"))
+    several = F.size(semis) > 1
     own = (
         F.when(kind == "constraint", F.transform(constraint_clauses(text), lambda p: atom(p["start"], p["text"], F.lit("constraint"))))
         .when(several & (kind == "user_correction"), F.concat(whole, F.filter(split, lambda a: a["kind"] != "user_correction")))
@@ -255,19 +257,30 @@ def extract(records: DataFrame, protected_only: bool = False, strict: bool = Fal
     protected_only keeps the kinds that a ledger may never lose (P3).
     """
     rows = sections(lines(records), DEFAULT_LABELS, strict)
-    text = tx.strip(F.col("line"))
     trusted = in_role(F.col("role"), lx.STATE_ROLES) | F.col("trusted")
-    if strict:
-        trusted = trusted & ~F.col("untrusted")
+    untrusted = F.col("untrusted") if strict else None
+    stated_kind = F.coalesce("label_kind", "section")
+    rows = rows.withColumns({"body": tx.strip(F.col("line")), "stated_kind": stated_kind, "may_state": trusted & ~untrusted if strict else trusted})
+    rows = rows.where("body <> ''")
+    free = F.col("stated_kind").isNull()
+    rows = rows.withColumns(
+        {
+            "free_kind": F.when(free, classify(F.col("body"), F.col("role"), F.col("may_state"), untrusted)),
+            "semis": F.when(free & F.contains("body", F.lit(";")), semicolon_clauses(F.col("body"))).when(
+                free, F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text")))
+            ),
+        }
+    )
     tag = F.when(F.col("label_kind") == "user_correction", F.array(F.lit("explicit-correction-label"))).otherwise(F.array().cast("array<string>"))
-    stated = _stated(F.col("value_start"), F.col("value"), F.coalesce("label_kind", "section"), tag)
+    stated = _stated(F.col("value_start"), F.col("value"), F.col("stated_kind"), tag)
     lead = F.length("line") - F.length(tx.lstrip(F.col("line")))
-    free = F.transform(
-        _free_atoms(text, F.col("role"), trusted, F.col("untrusted") if strict else None),
-        lambda a: F.struct((a["start"] + lead).cast("int").alias("start"), a["text"].alias("text"), a["kind"].alias("kind"), a["tags"].alias("tags"), a["exact"].alias("exact")),
+    rows = rows.withColumns({"lead": lead, "found": F.when(free, _free_atoms(untrusted)).otherwise(stated)})
+    moved = F.transform(
+        "found",
+        lambda a: F.struct((a["start"] + F.when(free, F.col("lead")).otherwise(0)).cast("int").alias("start"), a["text"].alias("text"), a["kind"].alias("kind"), a["tags"].alias("tags"), a["exact"].alias("exact")),
     )
-    atoms = F.when(text == "", F.array().cast(NONE)).when(F.coalesce("label_kind", "section").isNotNull(), stated).otherwise(free)
-    out = items_of(rows.withColumn("_atoms", atoms), _once(F.col("_atoms")), "rules")
+    atoms = _once(moved)
+    out = items_of(rows, atoms, "rules")
     return out.where(F.col("kind").isin(lx.PROTECTED)) if protected_only else out
 
 
