@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..functions.tables import settle
 
 COLUMNS = [
     "history_id", "id", "kind", "text", "status", "priority", "confidence", "exact", "tags", "supersedes",
@@ -248,6 +249,7 @@ def conflict_pairs(items: DataFrame) -> DataFrame:
         "history_id", "kind", "id", "sequence", "text", "tokens", "words", "numbers", "negated", "exclusive", "scope", "database",
         F.array_sort(subject).alias("subject"), F.array_sort(bare).alias("bare"), "provenance", "roles",
     )
+    own = settle(own)
     keys = own.select("history_id", "kind", "id", "sequence", F.explode(F.concat("tokens", F.when(F.col("database").isNotNull(), F.array(F.lit("\u0001"))).otherwise(F.array().cast("array<string>")))).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     after = (F.col("a.sequence") < F.col("b.sequence")) | ((F.col("a.sequence") == F.col("b.sequence")) & (F.col("a.id") < F.col("b.id")))
@@ -279,7 +281,7 @@ def conflict_pairs(items: DataFrame) -> DataFrame:
 
 def mark_conflicts(items: DataFrame) -> DataFrame:
     """Both sides of a contradiction become conflicting, and an open question names them; no side wins."""
-    pairs = conflict_pairs(items)
+    pairs = settle(conflict_pairs(items))
     edges = pairs.select("history_id", F.col("left").alias("id"), F.col("right").alias("other"))
     edges = edges.unionByName(edges.select("history_id", F.col("other").alias("id"), F.col("id").alias("other")))
     edges = edges.groupBy("history_id", "id").agg(F.collect_set("other").alias("others"))
@@ -315,6 +317,8 @@ def resolve(items: DataFrame) -> DataFrame:
     """The ledger of every history."""
     marked = (F.col("kind") == "user_correction") & (tx.like(F.col("text"), lx.CORRECTION_MARKER) | F.array_contains("tags", "explicit-correction-label"))
     confirms = (F.col("kind") == "confirmed_fact") & tx.like(F.col("text"), lx.CONFIRMATION)
-    corrected = canonicalize(_folded(canonicalize(items), marked, link_corrections))
-    closed = canonicalize(_folded(corrected, confirms, close_questions))
+    # Each step's table is read several times by the next.
+    merged = settle(canonicalize(items))
+    corrected = settle(canonicalize(_folded(merged, marked, link_corrections)))
+    closed = settle(canonicalize(_folded(corrected, confirms, close_questions)))
     return mark_conflicts(closed)
