@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def spots(content: Column, detectors: list[str] = lx.DETECTORS) -> Column:
             found.append(pem_spots(content))
         else:
             pattern = f"{lx.SECRETS[name]}(?:{lx.ASSIGNED})" if name == "credential_assignment" else lx.SECRETS[name]
-            found.append(F.transform(tx.matches(content, pattern), lambda m, n=name: _secret_of(n, m)))
+            found.append(F.transform(tx.matches(content, pattern), partial(_secret_of, name)))
     rank = F.create_map(*[F.lit(x) for n, d in enumerate(lx.DETECTORS) for x in (d, n)])
     ordered = F.array_sort(
         F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("reach"), F.element_at(rank, s["detector"]).alias("rank"), s.alias("spot")))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import archive
 
@@ -24,27 +25,24 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, on_change: Callable[[
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        held = stored(spark, table, batch.schema.simpleString(), before=number)
+        held = stored(spark, table, batch.schema, before=number)
         fresh = archive.append(held, batch)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
         if on_change is not None:
             touched = spark.read.schema(batch.schema).parquet(f"{table}/batch={number}").select("history_id").distinct()
-            now = stored(spark, table, batch.schema.simpleString(), before=number + 1)
+            now = stored(spark, table, batch.schema, before=number + 1)
             on_change(now.join(touched, "history_id", "left_semi"), number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, table: str, schema: str, before: int | None = None) -> DataFrame:
+def stored(spark: SparkSession, table: str, schema: StructType, before: int | None = None) -> DataFrame:
     """The records ingested so far, without those of batch ``before`` and later."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    kind = _parse_datatype_string(schema)
-    empty = spark.createDataFrame([], kind)
+    empty = spark.createDataFrame([], schema)
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return empty
-    whole = StructType([*kind.fields]).add("batch", "int")
+    whole = StructType([*schema.fields, StructField("batch", IntegerType())])
     rows = spark.read.schema(whole).option("basePath", table).parquet(table)
     return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
