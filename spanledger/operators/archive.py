@@ -29,8 +29,9 @@ def append(archive: DataFrame, incoming: DataFrame) -> DataFrame:
     by_sequence = held.select("history_id", "sequence", F.col("held").alias("sequence_held"))
     joined = rows.join(by_id, ["history_id", "source_id"], "left").join(by_sequence, ["history_id", "sequence"], "left").join(clash, "history_id", "left")
     taken = F.coalesce((F.col("id_held") != F.col("_own")) | (F.col("sequence_held") != F.col("_own")), F.lit(False)) | F.col("clash").isNotNull()
-    checked = joined.withColumn("_ok", F.when(taken, F.raise_error(F.concat(F.lit("collision in history "), "history_id")).cast("boolean")).otherwise(F.lit(True)))
-    return checked.where(F.col("_ok") & F.col("id_held").isNull()).select(*incoming.columns)
+    # One expression, so that no part of it is applied before the other.
+    fresh = F.when(taken, F.raise_error(F.concat(F.lit("collision in history "), "history_id")).cast("boolean")).otherwise(F.col("id_held").isNull())
+    return joined.where(fresh).select(*incoming.columns)
 
 
 def chain(records: DataFrame) -> DataFrame:
