@@ -372,7 +372,7 @@ def test_exact_dedup_equals_brute_force(spark, weak):
 
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     def run(rows):
-        part = tmp_path / f"in/{rows[0][0]}"
+        part = tmp_path / f"in/{rows[0][1]}"
         spark.createDataFrame(rows, "digest string, doc_id long, locator string, n_points int").coalesce(1).write.parquet(str(part))
         stream = spark.readStream.schema("digest string, doc_id long, locator string, n_points int").parquet(str(tmp_path / "in/*"))
         exact_dedup.fold_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"))
