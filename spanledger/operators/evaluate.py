@@ -104,7 +104,7 @@ def latency(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"))
 
 
-def bootstrap_bound(pairs: DataFrame, samples: int = 2000, quantile: float = 0.025, seed: int = 56056) -> DataFrame:
+def bootstrap_bound(pairs: DataFrame, samples: int = 2000, quantile: float = 0.025, seed: int = 7) -> DataFrame:
     """AG11, J15: lower bound of the mean difference of paired cases (case_id, a, b), resampled by hash.
 
     Each sample draws as many cases as there are; draw k of sample s is case hash(seed, s, k)

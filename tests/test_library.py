@@ -225,3 +225,30 @@ def test_queries_have_names_and_sql():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_model_responses_G15_G17(spark):
+    import json
+
+    from spanledger.operators import plugins
+
+    df = records(spark, ("user", "the port must be 80; note"), ("tool", "the port must be 81"), ("assistant", "it may be verified"))
+    claim = lambda kind, text, *spans, **more: {"kind": kind, "text": text, "provenance": [dict(zip(("source_id", "start", "end"), s, strict=True)) for s in spans], **more}
+    claims = [
+        claim("constraint", "the port must be 80", ("s0", 0, 19), confidence=0.5),
+        claim("constraint", "the port must be 81", ("s1", 0, 19)),
+        claim("constraint", "the port", ("s0", 0, 8)),
+        claim("constraint", "other", ("s0", 0, 19)),
+        claim("nothing", "x", ("s0", 0, 1)),
+        claim("confirmed_fact", "it may be verified", ("s2", 0, 18)),
+        claim("context", "note", ("s9", 0, 4)),
+        claim("context", "note", ("s0", 21, 25), tags=["current-value"]),
+        claim("context", "note"),
+    ]
+    asked = spark.createDataFrame([("h", json.dumps({"items": claims})), ("g", "no json")], "history_id string, response string")
+    items, rejected = plugins.decode(asked, df)
+    assert [(x.text, x.confidence) for x in items.collect()] == [("the port must be 80", 0.5)]
+    reasons = ["authority", "atom", "literal", "kind", "uncertain", "span", "tag", "span"]
+    assert {(x.history_id, x.place): x.reason for x in rejected.collect()} == {("h", k + 1): r for k, r in enumerate(reasons)} | {("g", -1): "response"}
+    whole, counts = plugins.composite(model=items, rules=extract.extract(df))
+    assert {x.name: x.n_items for x in counts.collect()} == {"model": 1, "rules": whole.count() - 1}
