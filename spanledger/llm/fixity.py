@@ -123,7 +123,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def replica_with_faults(pages: DataFrame) -> DataFrame:
-    """A replica as the query audits it: of each 50 pages one altered, one lost, one more written behind."""
+    """A replica as the query audits it: of each 50 pages one altered and one lost."""
     kept = pages.where("page_id is null or page_id % 50 <> 8")
     altered = kept.withColumn("html", F.when(F.col("page_id") % 50 == 7, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
     return altered
