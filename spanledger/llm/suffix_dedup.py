@@ -38,7 +38,7 @@ LENGTH, BASE = 100, 24
 #: Reach of the doubled rank right of an anchor's start; the rest of LENGTH lies left of it.
 REACH = 62
 #: Bytes worked on at once, and first contexts of an anchor that are compared in memory.
-PIECE, HELD = 1 << 21, 100_000
+PIECE, HELD = 1 << 20, 100_000
 NO_ID = -(1 << 63)
 # Any odd multipliers do.
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -208,22 +208,39 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of each document's runs: rank, the whole window's rank, doc and position."""
+    """The windows of each document's runs: rank, the whole window's rank, doc and position.
+
+    Runs that lie close share their bytes; the stretches of many documents are hashed end to end.
+    """
+    held: list[bytes] = []
+    rows: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pd.DataFrame:
+        whole = ranks(doubled(np.frombuffer(b"".join(held), np.uint8)), LENGTH)
+        at, rank, doc, start = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return pd.DataFrame({"rank": rank, "whole": whole[at].view(np.int64), "doc": doc, "start": start})
+
     for batch in batches:
-        for doc, text, runs in zip(batch["doc_id"], _encoded(batch["text"]), batch["runs"], strict=True):
-            runs = sorted((r["start"], r["n"], r["rank"]) for r in runs)
-            k = 0
-            while k < len(runs):  # runs close to each other share their bytes' hashes
-                stop, last = runs[k][0] + runs[k][1], k + 1
-                while last < len(runs) and runs[last][0] < stop + LENGTH and runs[last][0] - runs[k][0] < PIECE:
-                    stop = max(stop, runs[last][0] + runs[last][1])
-                    last += 1
-                low = runs[k][0]
-                whole = ranks(doubled(np.frombuffer(text, np.uint8)[low : stop + LENGTH - 1]), LENGTH)
-                own = np.array(runs[k:last], np.int64)
-                at = np.repeat(own[:, 0], own[:, 1]) + np.arange(own[:, 1].sum()) - np.repeat(np.cumsum(own[:, 1]) - own[:, 1], own[:, 1])
-                yield pd.DataFrame({"rank": np.repeat(own[:, 2], own[:, 1]), "whole": whole[at - low].view(np.int64), "doc": doc, "start": at})
-                k = last
+        for doc, text, start, n, rank in zip(batch["doc_id"], _encoded(batch["text"]), batch["starts"], batch["counts"], batch["ranks"], strict=True):
+            order = np.argsort(start, kind="stable")
+            start, n, rank = np.asarray(start, np.int64)[order], np.asarray(n, np.int64)[order], np.asarray(rank, np.int64)[order]
+            reach = np.maximum.accumulate(start + n) + LENGTH - 1
+            fresh = np.ones(len(start), bool)
+            fresh[1:] = (start[1:] >= reach[:-1]) | (start[1:] // PIECE != start[:-1] // PIECE)
+            first = np.flatnonzero(fresh)
+            low, high = start[first], np.maximum.reduceat(start + n, first) + LENGTH - 1
+            base = size + np.cumsum(high - low) - (high - low)
+            held.extend(text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True))
+            size = int(base[-1] + high[-1] - low[-1])
+            shift = (base - low)[np.cumsum(fresh) - 1]
+            own = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows.append((own + np.repeat(shift, n), np.repeat(rank, n), np.full(len(own), doc), own))
+            if size > PIECE:
+                yield flush()
+                held, rows, size = [], [], 0
+    if rows:
+        yield flush()
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,7 +308,8 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     ranked.mapInPandas(_kept, "doc long, start long, n int, rank long, seen boolean").write.parquet(f"{folder}/anchors")
     ranked = spark.read.parquet(f"{folder}/anchors")
     open_ = ranked.where("not seen").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
-    windows = docs.join(open_, "doc_id").select("doc_id", "text", "runs").mapInPandas(_windows, "rank long, whole long, doc long, start long")
+    open_ = open_.select("doc_id", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"), F.col("runs.rank").alias("ranks"))
+    windows = docs.join(open_, "doc_id").select("doc_id", "text", "starts", "counts", "ranks").mapInPandas(_windows, "rank long, whole long, doc long, start long")
     order = ["rank", "whole", "doc", "start"]
     later = windows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     later.mapInPandas(_later, "kind int, part int, rank long, whole long, doc long, start long").write.parquet(f"{folder}/windows")
