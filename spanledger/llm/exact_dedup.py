@@ -120,7 +120,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     placed = slim.join(state, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
-    mixed = cut(_mixed(base, state, fresh_dir(spark, "dedup-hits")))
+    mixed = cut(_mixed(base, state, fresh_dir(spark, "dedup-hits"))).distinct()
     if mixed.isEmpty():
         return placed
     good = slim.join(mixed, "digest", "left_anti").join(state, "digest")
@@ -130,14 +130,17 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 
 def _mixed(base: DataFrame, state: DataFrame, hits_dir: str) -> DataFrame:
-    """Digests under which a member's full bytes differ from those of the row that stays."""
+    """Digests under which a member's full bytes differ from those of the row that stays, repeats included.
+
+    Nothing is aggregated above the join, so Spark may split the largest group.
+    """
     hits = state.where("group_size > 1").select("digest", "keep_id")
     base.join(hits, "digest").select(
         "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), normalised(F.col("text")).alias("body")
     ).write.parquet(hits_dir)
     members = base.sparkSession.read.parquet(hits_dir)
     keepers = cut(members.where("stays").groupBy("digest").agg(F.min("body").alias("keep_body")))
-    return members.join(keepers, "digest").where(F.col("body") != F.col("keep_body")).select("digest").distinct()
+    return members.join(keepers, "digest").where(F.col("body") != F.col("keep_body")).select("digest")
 
 
 def _regroup(rows: DataFrame) -> DataFrame:
