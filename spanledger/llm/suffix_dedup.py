@@ -25,7 +25,7 @@ settled from each partition's first and last rank.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,7 +82,7 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return index
 
 
-def pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(doc_ids: list[int], texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts, documents' numbers, offsets): texts laid end to end; long ones cut with LENGTH - 1 bytes twice."""
     held, numbers, offsets, size = [], [], [], 0
 
@@ -104,8 +104,8 @@ def pieces(doc_ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray,
         yield flush()
 
 
-def _encoded(texts) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def _encoded(texts) -> Iterator[bytes]:
+    return ((t or "").encode("utf-8", "surrogatepass") for t in texts)
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +115,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for data, starts, numbers, offsets in pieces(ids, _encoded(batch["text"])):
             powers = doubled(data)
             base, whole, right, left = (ranks(powers, n) for n in (BASE, LENGTH, REACH, LENGTH - REACH))
+            del powers
             anchor = smallest(base, LENGTH - BASE + 1)
             part = np.repeat(np.arange(len(numbers)), np.diff(starts))[: len(anchor)]
             valid = np.arange(len(anchor)) <= starts[part + 1] - LENGTH
@@ -322,25 +323,49 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     return ranked.where("seen").select("doc", "start", "n").unionByName(single).unionByName(seen_rows)
 
 
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct (doc_id, text) once as (doc_id, text), under a number in the order of ids and text hashes; and (doc_id, id, times) of the numbers.
+
+    Both are written, so that the numbers stay. Rows without an id come first.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = fresh_dir(spark, "suffix-rows")
+    own = ["known", "id", "digest"]
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    rows.groupBy(*own).agg(F.first("text").alias("text"), F.count("*").alias("times")).write.parquet(f"{folder}/texts")
+    once = spark.read.parquet(f"{folder}/texts")
+    sorted_ = once.select(*own, "times").repartitionByRange(parts, *own).sortWithinPartitions(*own)
+    sorted_.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
+    numbers = spark.read.parquet(f"{folder}/numbers")
+    once.select(*own, "text").join(numbers.select(*own, "doc_id"), own).select("doc_id", "text").write.parquet(f"{folder}/numbered")
+    return spark.read.parquet(f"{folder}/numbered"), numbers.select("doc_id", F.when(F.col("known"), F.col("id")).alias("id"), "times")
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, judged on the whole input.
 
     Texts are taken as UTF-8, null as empty. Earlier means a smaller doc_id, or an earlier
-    start in the same document; rows without an id come first. Rows that repeat an id are one
-    document with the largest of their texts, and each carries its answer. Documents shorter
-    than 100 bytes lose nothing.
+    start in the same document; rows without an id come first, and rows that repeat an id
+    (or have none) follow each other by the SHA-256 of their texts. Only rows alike in id and
+    text are one document, and each carries its answer. Documents shorter than 100 bytes lose
+    nothing.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    times = rows.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
-    repeated = not times.isEmpty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    key = F.coalesce("id", F.lit(NO_ID))
+    repeated = not rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").isEmpty()
     if repeated:
-        rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+        rows, numbers = _numbered(rows)
+    else:
+        rows = rows.select(key.alias("doc_id"), "text")
     runs = removed_runs(rows).groupBy(F.col("doc").alias("doc_id"))
     runs = runs.agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("n").cast("long"))).alias("runs"))
     out = rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInPandas(
         _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     if repeated:
-        again = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))
-        out = out.join(times, "doc_id", "left").withColumn("_again", again).drop("_again", "times")
+        again = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+        out = out.join(numbers, "doc_id").withColumn("_again", again).withColumn("doc_id", F.col("id"))
+        return out.drop("id", "times", "_again")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -193,6 +193,23 @@ def test_suffix_dedup_of_repeated_rows_and_nothing(spark):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_suffix_dedup_searches_every_text_of_repeated_and_null_ids(spark):
+    r = random.Random(44)
+    noise = lambda n: "".join(r.choice("abcdefg \n") for _ in range(n))
+    common, docs = noise(400), []
+    for i in range(60):
+        text = noise(r.randint(0, 300)) + r.choice(["", common[r.randint(0, 250) :]]) + noise(30)
+        docs.append((None if i % 3 == 0 else r.randint(0, 12) - 3, text))
+    docs += [(None, docs[1][1]), (4, docs[0][1]), (None, None), (-(1 << 63), common), docs[5], docs[6]]
+    key = lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest())
+    once = {key(x): x for x in docs}
+    order = sorted(once)
+    brute = brute_suffix([(n, once[k][1]) for n, k in enumerate(order)])
+    want = [(x[0], *brute[order.index(key(x))]) for x in docs]
+    got = [tuple(x) for x in suffix_dedup.suffix_dedup(frame(spark, docs)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # ---- 5 ----
 
 
