@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm import decontam, exact_dedup, packing, quality, simhash
-from spanledger.llm.common import fresh_dir
+from spanledger.llm.common import cut, fresh_dir
 
 #: A classifier is learned on the way, which SQL does not express.
 ORACLE_SQL = None
@@ -42,11 +42,32 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return left.select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row in _row; written, so that a row keeps it."""
+    spark = docs.sparkSession
+    folder = fresh_dir(spark, "numbered")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Numbered docs but for the given _row, without their numbers; rows are written, so that a few are broadcast."""
+    spark = docs.sparkSession
+    folder = fresh_dir(spark, "gone")
+    rows.write.parquet(folder)
+    return docs.join(spark.read.parquet(folder), "_row", "left_anti").drop("_row")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    groups = simhash.near_groups(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key().alias("_key")).distinct()
-    return docs.withColumn("_key", _key()).join(stay, "_key", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest doc_id, null last; any one of equal ids."""
+    docs = _numbered(docs)
+    groups = simhash.near_groups(docs.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row")
+    placed = cut(groups.join(docs.select("_row", "doc_id"), "_row").select("component_id", order.alias("order")))
+    stay = placed.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = placed.join(stay, "component_id").where(F.col("order._row") != F.col("first._row"))
+    return _without(docs, gone.select("order._row"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -480,3 +480,15 @@ def test_pipeline_decides_as_brute_force_does(spark, tmp_path):
     assert sorted((x.doc_id, x.n_tokens) for x in got) == sorted((d, len(t.split())) for d, t in kept)
     ids = {x.doc_id for x in got}
     assert 300 in ids and not ids & {0, 301, 302} and len(ids & set(range(120))) == 119
+
+
+def test_pipeline_near_copies_are_decided_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(45)
+    t, u, v, w = (words(r, 60) for _ in range(4))
+    rows = [(3, t), (None, t + " "), (5, t + "  "), (5, u), (None, v), (None, v + " "), (None, w), (7, w + " "), (9, None), (9, "")]
+    groups = brute_groups(list(enumerate(x[1] for x in rows)))
+    assert len({c for *_, c in groups}) == 5
+    got = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted((str(x.doc_id), (x.text or "").strip(), x.bucket) for x in got) == sorted([("3", t, "own"), ("5", u, "own"), ("None", v, "own"), ("7", w, "own"), ("9", "", "own")])
