@@ -71,9 +71,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of `benchmark`."""
-    leaks = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(_key().alias("_key")).distinct()
-    return docs.withColumn("_key", _key()).join(leaks, "_key", "left_anti").select(*docs.columns)
+    """Documents that contain no item of `benchmark`, each row judged by its own text."""
+    docs = _numbered(docs)
+    leaks = decontam.contained(docs.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select(F.col("doc_id").alias("_row")).distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -492,3 +492,16 @@ def test_pipeline_near_copies_are_decided_by_row(spark):
     assert len({c for *_, c in groups}) == 5
     got = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()
     assert sorted((str(x.doc_id), (x.text or "").strip(), x.bucket) for x in got) == sorted([("3", t, "own"), ("5", u, "own"), ("None", v, "own"), ("7", w, "own"), ("9", "", "own")])
+
+
+def test_pipeline_leaks_are_decided_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(46)
+    item, clean = words(r, 20), [words(r, 40) for _ in range(4)]
+    half = item.split()
+    parts = [" ".join(half[:12]), " ".join(half[8:])]
+    rows = [(None, f"{clean[0]} {item}"), (None, clean[1]), (5, f"{item} {clean[2]}"), (5, clean[3]), (6, parts[0]), (6, parts[1]), (7, None)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.drop_leaks(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(map(str, ((x.doc_id, x.text, x.bucket) for x in got))) == sorted(str((*rows[i], "own")) for i in (1, 3, 4, 5, 6))
