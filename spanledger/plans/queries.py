@@ -297,8 +297,8 @@ SELECT CASE doc_id % 6 WHEN 0 THEN 'openai_style_key' WHEN 1 THEN 'github_token'
 FROM documents GROUP BY 1
 """)
 def redact_findings(spark, sf_dir):
-    """X1, X3, X5, AG6: findings by detector."""
-    rows = derived.secrets(spark, sf_dir)
+    """X1, X3, X5, AG6: findings by detector in whole texts; the SQL knows only the secrets written behind them."""
+    rows = derived.secret_texts(spark, sf_dir)
     return redact.report(redact.findings(redact.redact(rows), rows))
 
 
@@ -314,6 +314,12 @@ def redact_masked(spark, sf_dir):
     return redact.redact(derived.secrets(spark, sf_dir)).select("history_id", "content")
 
 
+@query()
+def redact_texts(spark, sf_dir):
+    """Whole texts masked; SQL cannot tell a text's own findings."""
+    return redact.redact(derived.secret_texts(spark, sf_dir)).select("history_id", "content")
+
+
 # ---- archive ----
 
 _REC = "sha256(source_id || chr(31) || CAST(sequence AS VARCHAR) || chr(31) || role || chr(31) || content || chr(31) || '' || chr(31) || '{}')"

@@ -71,6 +71,8 @@ SELECT 'd' || CAST(doc_id AS STRING) AS history_id, 's0' AS source_id, CAST(0 AS
   END AS content
 FROM documents
 """
+#: The whole texts of documents with those secrets on a line behind them.
+SECRET_TEXTS = SECRETS.replace("'note ' ||", "coalesce(text, '') || coalesce(chr(10) || 'note ' ||").replace("END AS content", "END, '') AS content")
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -90,3 +92,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir, SECRETS, "documents")
+
+
+def secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, SECRET_TEXTS, "documents")

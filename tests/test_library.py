@@ -159,6 +159,28 @@ def test_redaction_X1_to_X5(spark):
     assert redact.verify_redaction(df, out).count() == 0 and redact.verify_redaction(df, df).count() == 2
 
 
+def test_redaction_queries_pass_over_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from spanledger.plans import queries
+
+    key, long = "sk-" + "A1b2" * 6, "plain words é 😀 " * 3000
+    texts = {0: f"first {key}\nlast", 1: None, 2: long + key + " " + long, 3: "password: hunter22", 6: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = {i: hashlib.md5(str(i).encode()).hexdigest() for i in texts}
+    behind = {0: ("key sk-", md5[0]), 1: ("token ghp_", md5[1]), 2: ("id AKIA", md5[2][:16].upper()), 3: ("password: ", md5[3][:12]), 6: ("key sk-", md5[6])}
+    want = {}
+    for i, text in texts.items():
+        word, secret = behind[i]
+        kept = word if i == 3 else word.split(" ")[0] + " "
+        hidden = "*" * (len(word) - len(kept) + len(secret))
+        own = (text or "").replace(key, "*" * len(key)).replace("hunter22", "*" * 8)
+        want[f"d{i}"] = f"{own}\nnote {i} {kept}{hidden} end"
+    assert {x.history_id: x.content for x in queries.redact_texts(spark, str(tmp_path)).collect()} == want
+    found = {x.detector: tuple(x)[1:] for x in queries.redact_findings(spark, str(tmp_path)).collect()}
+    assert found == {"openai_style_key": (4, 3, 35 * 2 + 27 * 2), "github_token": (1, 1, 36), "aws_access_key_id": (1, 1, 20), "credential_assignment": (2, 1, 20)}
+
+
 def test_archive_A1_A2_A5(spark):
     df = records(spark, *[("user", f"c{i}") for i in range(6)])
     kept = archive.archived(df)
