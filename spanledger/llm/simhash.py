@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts
 from .components import components
 
 DISTANCE = 4
@@ -37,36 +37,43 @@ SEED = 42
 SUBTREE, PART = 512, 4096
 #: Pairs of nodes walked at once, which bounds a task's memory.
 WALK = 1 << 20
+#: Bytes from which a text is taken in parts.
+LONG = 1 << 20
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit SimHash over XXH64 of word shingles, repeats included; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    total, n, carried = np.zeros(64, np.int64), 0, []
+    for part in parts(raw, LONG):
+        words = carried + part.lower().split()  # bytes: A-Z and ASCII white space only
+        hashes = _hashes(words, size, seed) if len(words) >= size else []
+        n += len(hashes)
+        _add(total, hashes)
+        carried = words[max(len(words) - size + 1, 0) :]
+    if not n and carried:  # fewer words than a shingle has
+        _add(total, [xxh64_intdigest(b" ".join(carried), seed)])
+        n = 1
+    return sum(1 << k for k in np.flatnonzero(total * 2 > n).tolist())
+
+
+def _hashes(words: list[bytes], size: int, seed: int) -> list[int]:
+    """XXH64 of every run of ``size`` words, joined by spaces."""
+    from xxhash import xxh64_intdigest
+
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts.tolist(), ends[size - 1 :].tolist(), strict=False) if len(words) >= size else [(0, len(joined))]
-    total, n = np.zeros(64, np.int64), 0
-    hashes: list[int] = []
-
-    def add() -> None:
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        np.add(total, bits.sum(0, dtype=np.int64), out=total)
-
-    for start, stop in spans:
-        hashes.append(xxh64_intdigest(joined[start:stop], seed))
-        if len(hashes) == 1 << 16:
-            n += len(hashes)
-            add()
-            hashes = []
-    n += len(hashes)
-    if hashes:
-        add()
-    return sum(1 << k for k in np.flatnonzero(total * 2 > n).tolist())
+    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=False)]
+
+
+def _add(total: np.ndarray, hashes: list[int]) -> None:
+    """Adds how many of the hashes have each bit."""
+    for at in range(0, len(hashes), 1 << 16):
+        own = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        np.add(total, np.unpackbits(own, axis=1, bitorder="little").sum(0, dtype=np.int64), out=total)
 
 
 def forest(n: int, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
