@@ -51,13 +51,22 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def fits(rows: DataFrame, most_rows: int, most_bytes: int) -> bool:
+#: Rows and bytes of texts up to which a table is broadcast.
+FEW, SLIGHT = 200_000, 1 << 25
+
+
+def fits(rows: DataFrame, most_rows: int = FEW, most_bytes: int = SLIGHT) -> bool:
     """Whether a table that is computed already is small enough to broadcast: by its rows and the bytes of its texts."""
     wide = [F.coalesce(F.octet_length(field(f.name)), F.lit(0)) for f in rows.schema.fields if f.dataType.simpleString() in ("string", "binary")]
     n, size = rows.agg(F.count("*"), F.sum(sum(wide, F.lit(0).cast("long")))).first()
     return n <= most_rows and (size or 0) <= most_bytes
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """The table, computed already, as the broadcast side of a join if it fits, else as it is."""
+    return F.broadcast(rows) if fits(rows) else rows
+
+
 _BLANK = {str: re.compile(r"\s"), bytes: re.compile(rb"[\x20\x09-\x0D]")}
 
 
