@@ -1,23 +1,27 @@
 """Operator 8: exact deduplication as a stateful stream.
 
-A slim row per document (digest, stable identifier, content locator, size) flows through a
-streaming aggregation whose keyed state lies in RocksDB on disk and never expires. State per
-digest: the row that stays and the number of rows seen. A row whose digest is already held by
-another row is a hit: its full bytes are then compared with those of the row that stays. Rows
-that only share the digest leave the group and are grouped by their whole text instead.
+All rows are written once, normalised, with a locator: the file and place in which a row stands
+in that copy. A slim row per document (digest, stable identifier, locator, size) flows from it
+through a streaming aggregation whose keyed state lies in RocksDB on disk and never expires.
+State per digest: the row that stays, with its locator, and the number of rows seen. A digest
+that is held by several rows is a hit: in the same micro-batch the full bytes of its rows are
+compared with those found at the locator of the row that stays. Digests under which bytes
+differ leave the state's answer, and their rows are grouped by the whole text instead.
 
 Only DataFrame and SQL functions run on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, fresh_dir
+from .common import WHITE, cut, fits, fresh_dir, small
 
+#: What a micro-batch tells of a digest.
+STATE = "digest string, keep struct<points: int, rank: bigint, place: bigint>, n_rows bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,16 +35,18 @@ def sha256(text: Column) -> Column:
 
 
 def _order() -> Column:
-    """The largest stays: most code points, then the smallest id (null ids last)."""
-    return F.struct(F.col("n_points").alias("points"), (-F.col("doc_id")).alias("rank"), "locator")
+    """The largest stays: most code points, then the smallest id (null ids last), then the first in the copy."""
+    return F.struct(F.col("n_points").alias("points"), (-F.col("doc_id")).alias("rank"), (-F.col("locator")).alias("place"))
 
 
-def fold_stream(slim: DataFrame, state_dir: str, out_dir: str) -> None:
+def fold_stream(slim: DataFrame, content: DataFrame, state_dir: str, out_dir: str) -> None:
     """Run a stream of (digest, doc_id, locator, n_points) into the state below ``state_dir``.
 
-    A second call with the same folders continues from the state of the first. Every
-    micro-batch writes what changed; the row with the largest ``n_rows`` of a digest is its
-    current state.
+    content holds (digest, locator, body) of every row that was or is streamed: where a locator
+    leads. A second call with the same folders continues from the state of the first. Every
+    micro-batch writes what changed below ``out_dir``/state, where the row with the largest
+    ``n_rows`` of a digest is its current state, and below ``out_dir``/mixed the digests whose
+    rows turned out to differ.
     """
     spark = slim.sparkSession
     held = {}
@@ -60,7 +66,10 @@ def fold_stream(slim: DataFrame, state_dir: str, out_dir: str) -> None:
         state = slim.groupBy("digest").agg(F.max(_order()).alias("keep"), F.count("*").alias("n_rows"))
 
         def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{out_dir}/state/batch={number}")
+            hits = spark.read.schema(STATE).parquet(f"{out_dir}/state/batch={number}").where("n_rows > 1")
+            hits = hits.select("digest", (-F.col("keep.place")).alias("keep_at"))
+            differing(content, hits, f"{out_dir}/members/batch={number}").write.mode("overwrite").parquet(f"{out_dir}/mixed/batch={number}")
 
         query = (
             state.writeStream.outputMode("update")
@@ -78,85 +87,80 @@ def fold_stream(slim: DataFrame, state_dir: str, out_dir: str) -> None:
                 spark.conf.set(key, value)
 
 
+def differing(content: DataFrame, hits: DataFrame, folder: str) -> DataFrame:
+    """Digests of hits (digest, keep_at) under which some row's bytes are not those found at keep_at, repeats included.
+
+    Nothing is aggregated above the joins, so Spark may split the largest group.
+    """
+    hits = cut(hits)
+    if fits(hits):
+        members = content.join(F.broadcast(hits), "digest")
+    else:
+        content.join(hits, "digest").write.mode("overwrite").parquet(folder)
+        members = content.sparkSession.read.parquet(folder)
+    keepers = cut(members.where("locator = keep_at").select("digest", F.col("body").alias("keep_body")))
+    return members.join(small(keepers), "digest").where("body <> keep_body").select("digest")
+
+
 def current_state(spark: SparkSession, out_dir: str) -> DataFrame:
     """The state of every digest after the last batch: digest, keep, n_rows."""
-    return (
-        spark.read.schema("digest string, keep struct<points: int, rank: bigint, locator: string>, n_rows bigint")
-        .option("recursiveFileLookup", "true")
-        .parquet(out_dir)
-        .groupBy("digest")
-        .agg(F.max_by("keep", "n_rows").alias("keep"), F.max("n_rows").alias("n_rows"))
-    )
+    told = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{out_dir}/state")
+    return told.groupBy("digest").agg(F.max_by("keep", "n_rows").alias("keep"), F.max("n_rows").alias("n_rows"))
+
 
+def mixed_digests(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Digests under which different bytes were found, each once."""
+    return spark.read.schema("digest string").option("recursiveFileLookup", "true").parquet(f"{out_dir}/mixed").distinct()
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns named in carry.
 
     docs needs doc_id (integer) and text; other columns are ignored. Texts are equal when
     identical without ASCII white space, null counting as empty. Of equal texts the row with
-    the most code points stays, then the smallest doc_id, a null id last. Repeated rows with
-    one doc_id are members of the group like any others and carry the same answer. An empty
-    table gives no rows.
+    the most code points stays, then the smallest doc_id, a null id last; of rows that are
+    alike in that too, one. So exactly one row of each group is kept, and keep_id is null where
+    that row has no id. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    norm = normalised(F.col("text"))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("digest", digest(norm))
-    slim_dir, run = fresh_dir(spark, "dedup-slim"), fresh_dir(spark, "dedup-state")
-    base.select(
-        "digest",
-        sha256(norm).alias("text_sha256"),
-        "doc_id",
-        F.col("doc_id").cast("string").alias("locator"),
+    copy, run = fresh_dir(spark, "dedup-rows"), fresh_dir(spark, "dedup-state")
+    body = normalised(F.col("text"))
+    docs.select(
+        digest(body).alias("digest"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.monotonically_increasing_id().alias("locator"),  # the number of the file, then that of the row
         F.length(F.coalesce("text", F.lit(""))).alias("n_points"),
-    ).write.parquet(slim_dir)
-    slim = spark.read.parquet(slim_dir)
-    fold_stream(spark.readStream.schema(slim.schema).parquet(slim_dir), f"{run}/state", f"{run}/out")
+        body.alias("body"),
+        *carry,
+    ).write.option("compression", "zstd").parquet(copy)
+    rows = spark.read.parquet(copy)
+    slim = spark.readStream.schema(rows.select("digest", "doc_id", "locator", "n_points").schema).parquet(copy)
+    fold_stream(slim, rows.select("digest", "locator", "body"), f"{run}/state", f"{run}/out")
     # Cut, so that the joins stand directly on their exchanges and a hot digest can be split.
     state = cut(
         current_state(spark, f"{run}/out").select(
-            "digest", (-F.col("keep.rank")).alias("keep_id"), F.col("n_rows").alias("group_size")
+            "digest", (-F.col("keep.rank")).alias("keep_id"), (-F.col("keep.place")).alias("keep_at"), F.col("n_rows").alias("group_size")
         )
     )
-    placed = slim.join(state, "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
-    mixed = cut(_mixed(base, state, fresh_dir(spark, "dedup-hits"))).distinct()
+    told = ["doc_id", "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept")]
+    mixed = cut(mixed_digests(spark, f"{run}/out"))
+    plain = F.col("digest") if digest is sha256 else sha256(F.col("body"))
     if mixed.isEmpty():
-        return placed
-    good = slim.join(mixed, "digest", "left_anti").join(state, "digest")
-    return good.select(*placed.columns[:3], F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256").unionByName(
-        _regroup(base.join(mixed, "digest", "left_semi"))
-    )
-
-
-def _mixed(base: DataFrame, state: DataFrame, hits_dir: str) -> DataFrame:
-    """Digests under which a member's full bytes differ from those of the row that stays, repeats included.
-
-    Nothing is aggregated above the join, so Spark may split the largest group.
-    """
-    hits = state.where("group_size > 1").select("digest", "keep_id")
-    base.join(hits, "digest").select(
-        "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), normalised(F.col("text")).alias("body")
-    ).write.parquet(hits_dir)
-    members = base.sparkSession.read.parquet(hits_dir)
-    keepers = cut(members.where("stays").groupBy("digest").agg(F.min("body").alias("keep_body")))
-    return members.join(keepers, "digest").where(F.col("body") != F.col("keep_body")).select("digest")
+        return rows.join(state, "digest").select(*told, plain.alias("text_sha256"), *carry)
+    good = rows.join(small(mixed), "digest", "left_anti").join(state, "digest").select(*told, plain.alias("text_sha256"), *carry)
+    return good.unionByName(_regroup(rows.join(small(mixed), "digest", "left_semi"), carry))
 
 
-def _regroup(rows: DataFrame) -> DataFrame:
+def _regroup(rows: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Different texts that met under one digest, dealt anew by whole text."""
-    rows = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("body"))
-    best = cut(
-        rows.groupBy("body").agg(
-            F.max(F.struct("n_points", (-F.col("doc_id")).alias("rank"))).alias("best"), F.count("*").alias("group_size")
-        )
-    )
+    best = cut(rows.groupBy("body").agg(F.max(_order()).alias("best"), F.count("*").alias("group_size")))
     return rows.join(best, "body").select(
         "doc_id",
         (-F.col("best.rank")).alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(-F.col("best.rank")).alias("kept"),
+        (F.col("locator") == -F.col("best.place")).alias("kept"),
         sha256(F.col("body")).alias("text_sha256"),
+        *carry,
     )
 
 
