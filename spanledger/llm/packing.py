@@ -1,11 +1,13 @@
 """Operator 3: packing by optimal length buckets.
 
-Dynamic programming over the global histogram of lengths chooses the bucket boundaries that
-minimise padding. In each bucket every document is padded to the boundary, so a batch holds
-floor(budget / boundary) documents; a document longer than the budget is a batch by itself.
-
-The histogram is bounded: lengths up to 4096 count one by one, longer ones in 4096 steps an
-octave, each step with its longest length as the possible boundary.
+Dynamic programming over the global histogram of lengths, one entry for each length that
+occurs, chooses the bucket boundaries that minimise padding. No bucket holds both lengths
+within the token budget and lengths beyond it, so what fits is never padded beyond the budget.
+In each bucket every document is padded to the boundary, so a batch holds floor(budget /
+boundary) documents; a document longer than the budget is a batch by itself.
+
+The driver holds the histogram: as many entries as there are different lengths, which is
+never more than the longest length, and the choices of each layer, four bytes an entry.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from .common import WHITE, WORD, cut
 BUCKETS, BUDGET = 16, 32_768
 #: Rows of a bucket that are numbered by one task, about.
 SHARD = 20_000
-FINE = 12
 
 
 def n_words(text: Column) -> Column:
@@ -28,51 +29,55 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(marked, WHITE, "")).cast("long")
 
 
-def step_of(length: Column) -> Column:
-    """The histogram's step of a length; increasing with the length."""
-    octave = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - F.lit(FINE)).cast("int")
-    # A length just below a power of two may round up to it: then the octave is one too high.
-    octave = F.when((octave > 0) & (F.expr("1L") * F.pow(F.lit(2.0), octave + FINE) > length), octave - 1).otherwise(octave)
-    scaled = F.floor(length / F.pow(F.lit(2.0), octave))
-    return (octave.cast("long") * F.lit(1 << FINE) + scaled).cast("long")
-
-
-def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int, budget: int | None = None) -> list[int]:
     """Boundaries (ascending, the last one the longest length) of at most so many buckets with the least padding.
 
-    Exact over the given lengths: cost[k][j] = min over i of cost[k-1][i] + lengths[j-1] *
-    (rows in i..j), each layer by divide and conquer, since the best i never falls as j grows.
-    Of equal solutions the one with fewer buckets, then the smallest split, wins.
+    lengths ascend. If some lengths fit the budget and some do not, the longest that fits is a
+    boundary, which takes a bucket more if there is only one. Exact, in whole numbers: with
+    total[i] rows in the first i lengths, the cost of j lengths in k buckets is the least over
+    i of cost[k-1][i] + lengths[j-1] * (total[j] - total[i]). For each i that is a line in
+    lengths[j-1]; slopes fall as i grows and lengths grow with j, so a hull of lines gives each
+    layer in one pass. Of equal solutions the one with fewer buckets wins.
     """
     n = len(lengths)
     if not n:
         return []
-    total = np.concatenate([[0], np.cumsum(counts.astype(np.float64))])
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
-    layers, best, best_k = [], np.inf, 0
+    size = [int(x) for x in lengths]
+    total = [0, *np.cumsum(np.asarray(counts, np.int64)).tolist()]
+    wall = sum(1 for x in size if budget is not None and x <= budget)
+    wall = wall if 0 < wall < n else 0  # a bucket lies on one side of it
+    buckets = max(buckets, 2) if wall else buckets
+    cost: list[int | None] = [0] + [None] * n
+    layers, best, best_k = [], None, 0
     for k in range(1, min(buckets, n) + 1):
-        fresh, origin = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        stack = [(1, n, 0, n - 1)]
-        while stack:
-            low, high, first, last = stack.pop()
-            if low > high:
-                continue
-            j = (low + high) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            if len(i):
-                found = cost[i] + lengths[j - 1] * (total[j] - total[i])
-                at = int(found.argmin())
-                fresh[j], origin[j] = found[at], i[at]
-            pick = int(origin[j])
-            stack += [(low, j - 1, first, max(pick, first)), (j + 1, high, max(pick, first), last)]
+        fresh: list[int | None] = [None] * (n + 1)
+        origin = np.zeros(n + 1, np.int32)
+        hull: list[int] = []
+        at = 0
+        for j in range(1, n + 1):
+            if wall and j == wall + 1:
+                hull, at = [], 0
+            i, own = j - 1, cost[j - 1]
+            if own is not None:
+                # The last line goes if the new one meets the line before it no later than the last one does.
+                while len(hull) > at + 1:
+                    p, q = hull[-2], hull[-1]
+                    if (own - cost[p]) * (total[q] - total[p]) > (cost[q] - cost[p]) * (total[i] - total[p]):
+                        break
+                    hull.pop()
+                hull.append(i)
+            x = size[j - 1]
+            while at + 1 < len(hull) and cost[hull[at + 1]] - x * total[hull[at + 1]] < cost[hull[at]] - x * total[hull[at]]:
+                at += 1
+            if at < len(hull):
+                fresh[j], origin[j] = cost[hull[at]] + x * (total[j] - total[hull[at]]), hull[at]
         layers.append(origin)
-        if fresh[n] < best:
+        if fresh[n] is not None and (best is None or fresh[n] < best):
             best, best_k = fresh[n], k
         cost = fresh
     out, j = [], n
     for k in range(best_k, 0, -1):
-        out.append(int(lengths[j - 1]))
+        out.append(size[j - 1])
         j = int(layers[k - 1][j])
     return out[::-1]
 
@@ -80,22 +85,25 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch_id, slot and padding of every row.
 
-    length is not negative. Rows of one bucket are dealt to batches in an order made of a hash
-    of the id; repeated rows take a slot each. batch_id is unique over all buckets. Of an empty
-    table nothing comes.
+    length is not negative; a null one counts as 0. Rows of one bucket are dealt to shards by a
+    hash of their place in docs, so that null and repeated ids spread like any others, and take
+    their slots there in the order of id and length, null ids first; repeated rows take a slot
+    each. batch_id is unique over all buckets. Other columns of docs are ignored, whatever
+    their names. Of an empty table nothing comes.
     """
     spark = docs.sparkSession
-    rows = cut(docs.select("doc_id", length.cast("long").alias("n_tokens")))
-    steps = rows.groupBy(step_of(F.col("n_tokens")).alias("step")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest"))
-    histogram = sorted((r["longest"], r["n"]) for r in steps.collect())
+    place = F.xxhash64(F.monotonically_increasing_id(), F.lit("pack"))
+    rows = cut(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"), place.alias("place")))
+    longer = F.greatest("n_tokens", F.lit(1)).alias("length")  # an empty document is padded to one token
+    histogram = sorted((r["length"], r["n"]) for r in rows.groupBy(longer).agg(F.count("*").alias("n")).collect())
     lengths = np.array([x for x, _ in histogram], np.int64)
     counts = np.array([n for _, n in histogram], np.int64)
-    bounds = boundaries(np.maximum(lengths, 1), counts, buckets)
+    bounds = boundaries(lengths, counts, buckets, budget)
     edges = [(k, b, max(1, budget // b)) for k, b in enumerate(bounds)]
     table = F.broadcast(spark.createDataFrame(edges, "bucket int, bucket_len long, capacity long"))
     rows = rows.withColumn("bucket", sum([(F.greatest("n_tokens", F.lit(1)) > b).cast("int") for b in bounds[:-1]], F.lit(0)))
     shards = max(1, int(counts.sum()) // SHARD) if len(counts) else 1
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
     # Ranks in two levels: rows before a shard in its bucket, then the place within the shard.
     sizes = cut(rows.groupBy("bucket", "shard").agg(F.count("*").alias("n")))
     before = sizes.select(
@@ -107,7 +115,7 @@ def pack(docs: DataFrame, length: Column, buckets: int = BUCKETS, budget: int =
         (F.sum(F.ceil(F.col("n") / F.col("capacity"))).over(Window.orderBy("bucket")) - F.ceil(F.col("n") / F.col("capacity"))).alias("first"),
     )
     place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
-    ranked = rows.withColumn("place", place).join(before, ["bucket", "shard"]).join(F.broadcast(first), "bucket")
+    ranked = rows.drop("place").withColumn("place", place).join(before, ["bucket", "shard"]).join(F.broadcast(first), "bucket")
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place"))
     return ranked.select(
         "doc_id",
