@@ -3,7 +3,8 @@
 A text is lower-cased and every character that is no letter becomes a space; features are the
 runs of one to three characters, hashed into a fixed number of columns. Training counts are
 summed by Spark; the log-probability matrix, whose size is columns times languages, goes to
-the executors as a broadcast. A batch of texts is scored as a sparse matrix in row order: the
+the executors as a broadcast. The more languages there are, the fewer columns each has, so
+that the matrix stays within a bound. A batch of texts is scored as a sparse matrix in row order: the
 feature columns of all texts in one array, gathered from the matrix and summed by text.
 """
 
@@ -16,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, unit_hash
+from .common import field, fold, unit_hash, unused
 
 BITS = 15
 COLUMNS = 1 << BITS
-#: Training documents taken for each language (by a hash of the id) and languages at most.
+#: Training documents taken for each language, by a hash of the id.
 TRAIN_ROWS = 4000
-MAX_LANGUAGES = 512
+#: Cells of the matrix, and of a batch's table of texts and languages, at most.
+CELLS, TABLE = 1 << 24, 1 << 22
 #: Characters handled at once, which bounds a worker's memory.
 PIECE = 1 << 20
 
@@ -42,8 +44,13 @@ def codes(text: str) -> np.ndarray:
     return np.where(letters()[found], found, np.uint32(32))
 
 
-def hashed(points: np.ndarray) -> list[np.ndarray]:
-    """Columns of the n-grams that start at each of the points but the last two; COLUMNS if all are spaces."""
+def bits_for(languages: int) -> int:
+    """log2 of the columns for so many languages: BITS, or as many as CELLS allows, 6 at least."""
+    return max(6, min(BITS, (CELLS // max(languages, 1)).bit_length() - 1))
+
+
+def hashed(points: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
+    """Columns of the n-grams that start at each of the points but the last two; 2**bits if all are spaces."""
     a, b, c = points[:-2], points[1:-1], points[2:]
     one = a * np.uint32(0x9E3779B1)
     two = (one ^ (one >> np.uint32(15))) + b * np.uint32(0x85EBCA77) + np.uint32(0x165667B1)
@@ -52,8 +59,8 @@ def hashed(points: np.ndarray) -> list[np.ndarray]:
     out = []
     for value, blank in ((one, blank_a), (two, blank_a & blank_b), (three, blank_a & blank_b & blank_c)):
         value = value ^ (value >> np.uint32(16))
-        column = ((value * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)).astype(np.int32)
-        column[blank] = COLUMNS
+        column = ((value * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.int32)
+        column[blank] = 1 << bits
         out.append(column)
     return out
 
@@ -101,8 +108,9 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def log_odds(texts: list[str | None], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the log-probabilities by text and language, and whether a text has a letter."""
     total, lettered = np.zeros((len(texts), len(matrix))), np.zeros(len(texts), bool)
+    bits = max(matrix.shape[1] - 1, 1).bit_length() - 1
     for points, starts, numbers in pieces(texts):
-        grams = hashed(points)
+        grams = hashed(points, bits)
         has = np.add.reduceat((points != 32).astype(np.int64), starts) > 0
         np.logical_or.at(lettered, numbers, has)
         for k, row in enumerate(matrix):
@@ -110,20 +118,20 @@ def log_odds(texts: list[str | None], matrix: np.ndarray) -> tuple[np.ndarray, n
     return total, lettered
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, np.ndarray] = {}
+def _count(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    columns, counts = 1 << bits, {}
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
-            own = counts.setdefault(lang, np.zeros(COLUMNS + 1, np.int64))
+            own = counts.setdefault(lang, np.zeros(columns + 1, np.int64))
             for points, starts, _ in pieces(rows["text"].tolist()):
                 valid = np.ones(len(points), np.int64)
                 ends = np.append(starts[1:], len(points))
                 valid[ends - 1] = valid[ends - 2] = 0
                 valid = valid[:-2] > 0
-                for gram in hashed(points):
-                    own += np.bincount(gram[valid], minlength=COLUMNS + 1)
+                for gram in hashed(points, bits):
+                    own += np.bincount(gram[valid], minlength=columns + 1)
     for lang, own in counts.items():
-        own[COLUMNS] = 0
+        own[columns] = 0
         at = np.flatnonzero(own)
         yield pd.DataFrame({"lang": lang, "gram": at, "n": own[at]})
 
@@ -135,29 +143,31 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     hash of the id. Rows with a null language or text teach nothing.
     """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     names = sorted(sizes)
     if not names:
         return [], np.zeros(0), np.zeros((0, COLUMNS + 1), np.float32)
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, TRAIN_ROWS / sizes[k]))])
-    chosen = labelled.where(unit_hash(F.col("doc_id"), F.lit("langid")) < F.element_at(share, F.col("lang")))
-    counts = np.zeros((len(names), COLUMNS + 1))
+    bits = bits_for(len(names))
+    share = labelled.sparkSession.createDataFrame([(k, min(1.0, TRAIN_ROWS / n)) for k, n in sizes.items()], "lang string, share double")
+    place = unit_hash(F.col("doc_id"), F.lit("langid"))
+    chosen = labelled.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    counts = np.zeros((len(names), (1 << bits) + 1), np.float32)
     summed = (
         chosen.select("text", "lang")
-        .mapInPandas(_count, "lang string, gram int, n long")
+        .mapInPandas(lambda batches: _count(batches, bits), "lang string, gram int, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .groupBy("lang", (F.col("gram") % 16).alias("part"))
         .agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
     )
+    number = {k: i for i, k in enumerate(names)}
     for row in summed.toLocalIterator():
         own = np.array([(g["gram"], g["n"]) for g in row["grams"]], np.int64)
-        counts[names.index(row["lang"]), own[:, 0]] = own[:, 1]
-    smooth = counts[:, :COLUMNS] + 0.05
-    matrix = np.zeros((len(names), COLUMNS + 1), np.float32)
-    matrix[:, :COLUMNS] = np.log(smooth / smooth.sum(1, keepdims=True))
+        counts[number[row["lang"]], own[:, 0]] = own[:, 1]
+    matrix = np.zeros_like(counts)
+    for k, row in enumerate(counts):
+        smooth = row[:-1].astype(np.float64) + 0.05
+        matrix[k, :-1] = np.log(smooth / smooth.sum())
     prior = np.array([sizes[k] for k in names], float)
     return names, np.log(prior / prior.sum()), matrix
 
@@ -166,7 +176,8 @@ def predict(docs: DataFrame, names: list[str], prior: np.ndarray, matrix: np.nda
     """Adds lang_pred and score (the posterior of the predicted language) to docs.
 
     A null text, one without a letter and every text where nothing was learned is `und` with
-    score 0. Equal posteriors go to the first language in alphabetical order.
+    score 0. Equal posteriors go to the first language in alphabetical order. Columns of docs
+    with these names are replaced; all others stay.
     """
     model = docs.sparkSession.sparkContext.broadcast((names, prior, matrix))
 
@@ -175,20 +186,30 @@ def predict(docs: DataFrame, names: list[str], prior: np.ndarray, matrix: np.nda
         names, prior, matrix = model.value
         if not names:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
-        total, lettered = log_odds(texts.tolist(), matrix)
-        total += prior
-        best = total.argmax(1)
-        top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        named = np.where(lettered, np.array(names, object)[best], "und")
-        return pd.DataFrame({"lang_pred": named, "score": np.where(lettered, top, 0.0)})
-
-    return docs.withColumn("_found", scored(F.col("text"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score"
+        told, step = [], max(1, TABLE // len(names))
+        for at in range(0, len(texts), step):
+            total, lettered = log_odds(texts.iloc[at : at + step].tolist(), matrix)
+            total += prior
+            top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            named = np.where(lettered, np.array(names, object)[total.argmax(1)], "und")
+            told.append(pd.DataFrame({"lang_pred": named, "score": np.where(lettered, top, 0.0)}))
+        return pd.concat(told, ignore_index=True) if told else pd.DataFrame({"lang_pred": [], "score": []})
+
+    kept, name = [field(c) for c in docs.columns if c not in ("lang_pred", "score")], unused(docs, "found")
+    found = F.col(name)
+    return docs.select(*[field(c) for c in docs.columns], scored(F.col("text")).alias(name)).select(
+        *kept, found["lang_pred"].alias("lang_pred"), found["score"].alias("score")
     )
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, learned from the other folds."""
+    """doc_id, held_out, lang_pred and score of every document, learned from the other folds.
+
+    Every row is answered by its own text, repeated rows and null ids too (a null id counts as
+    the empty text for the fold); null, empty and letterless texts are `und` with score 0, and
+    so is every text where no row has a language. Ties go to the first language in alphabetical
+    order. Other columns of docs are ignored; an empty table gives no rows.
+    """
     part = fold(folds)
     names, prior, matrix = train(docs.where(part != held))
     return predict(docs.select("doc_id", (part == held).alias("held_out"), "text"), names, prior, matrix).drop("text")
