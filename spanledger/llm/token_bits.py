@@ -13,6 +13,7 @@ byte.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fresh_dir, parts
 
 MAGIC, HEAD = b"SLTB", "<4sHHIQ"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -32,6 +33,8 @@ BLOCK_IDS = 1 << 20
 END_ID = 1
 #: Entries of each of the two generations of a worker's cache.
 CACHE = 400_000
+#: Characters from which a text is taken in parts.
+LONG = 1 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -101,18 +104,43 @@ PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
+# How such a tokenizer file folds and splits texts.
+FILE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+FILE_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def splits_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer file folds and splits texts as ``Encoder`` does by itself: then chunks may be encoded one by one."""
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec.get("model") or {}
+    return (
+        spec.get("normalizer") == FILE_NORMALIZER
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == (FILE_SPLIT, "Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and all(x["content"].startswith("<|") and not set(x["content"]) & set(" \t\n") for x in spec.get("added_tokens") or ())
+        and not spec.get("truncation")
+        and not spec.get("padding")
+    )
+
+
 class Encoder:
-    """Token ids of texts, equal to the tokenizer's own, from chunks between white space met before.
+    """Token ids of texts, equal to the tokenizer's own, from a tokenizer file's contents.
 
-    White space separates words for this tokenizer and is dropped, so a text's ids are those of
-    its chunks in a row. A chunk of plain letters and signs is split here and its words go to
-    the tokenizer's model; any other goes through the whole tokenizer.
+    Where the file folds and splits texts in the way that ``splits_at_white_space`` knows, white
+    space separates words and is dropped, so a text's ids are those of its chunks in a row, and
+    chunks met before are looked up: a chunk of plain letters and signs is split here and its
+    words go to the tokenizer's model; any other goes through the whole tokenizer. With any
+    other file every text goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, contents: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(contents)
+        self.by_chunk = splits_at_white_space(json.loads(contents))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (self.size - 1).bit_length())
         self.young: dict[str, bytes] = {}
@@ -150,24 +178,36 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids and the end id; null has the end id only."""
         text = text or ""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+        if not self.by_chunk or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
             raw = self._whole(text)
         else:
-            get, new = self.young.get, self._chunk
-            raw = b"".join([get(c) or new(c) for c in text.split()])
+            new = self._chunk
+            raw = b"".join([self.young.get(c) or new(c) for part in parts(text, LONG) for c in part.split()])
         return np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID)).astype(np.uint32)
 
 
+def _contents(path: str) -> str:
+    """The tokenizer file, read by the driver."""
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Tokenise docs (doc_id, text) into a table of blocks at ``path``.
 
     Columns: part and seq (ascending in document order), n_docs, n_ids, block. A null text is
-    encoded as empty; rows without an id come first with the id of the smallest long. Repeated
-    ids stay next to each other, each with its own row.
+    encoded as empty; rows without an id come first with the id of the smallest long. Rows that
+    repeat an id (or have none) stay next to each other in the order of their texts' hashes and
+    then of their texts, so that only rows alike in both could change places.
     """
     smallest = F.lit(-(1 << 63))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce("text", F.lit(""))
+    # The place among the rows spreads rows that are alike in all else over the parts.
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place")
+    )
+    contents = docs.sparkSession.sparkContext.broadcast(_contents(tokenizer))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held: list[Encoder] = []
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +215,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
 
         part, seq = TaskContext.get().partitionId(), 0
         if not held:
-            held.append(Encoder(tokenizer))
+            held.append(Encoder(contents.value))
         coder = held[0]
         doc_ids: list[int] = []
         each: list[np.ndarray] = []
@@ -198,8 +238,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
         if doc_ids:
             yield block()
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(encode, "part int, seq int, n_docs long, n_ids long, block binary").write.parquet(path)
+    ordered = rows.repartitionByRange(tasks, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInPandas(encode, "part int, seq int, n_docs long, n_ids long, block binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -207,10 +247,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
     # Where each block starts: parts are few (one a writing task), blocks of a part too.
     sizes = cut(blocks.select("part", "seq", "n_ids"))
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     from pyspark.sql import Window
 
-    first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    first = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     starts = sizes.withColumn("within", within).join(F.broadcast(first), "part")
     starts = starts.select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
@@ -247,7 +287,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_bits(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write docs' ids in ascending doc_id order and read them back: doc_id, start, n_tokens, ids_crc32, bits."""
+    """Write docs' ids in ascending doc_id order and read them back: doc_id, start, n_tokens, ids_crc32, bits.
+
+    tokenizer is the path of a tokenizer file on the driver. Null texts are empty ones, which
+    hold the end id only; null ids come first; rows that repeat an id follow each other by their
+    texts' hashes. Other columns are ignored; an empty table gives no rows.
+    """
     path = path or fresh_dir(docs.sparkSession, "token-bits")
     write(docs, path, tokenizer)
     return read(docs.sparkSession, path)
