@@ -7,74 +7,74 @@ the columns they came with.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm import decontam, exact_dedup, packing, quality, simhash
-from spanledger.llm.common import cut, fresh_dir
+from spanledger.llm.common import cut, field, fresh_dir, small
 
 #: A classifier is learned on the way, which SQL does not express.
 ORACLE_SQL = None
 
 
-def _key(column: str = "doc_id") -> Column:
-    """The id for joins; null is a value like any other."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+def _row(docs: DataFrame):
+    """All columns as one struct, whose fields clash with nothing that an operator adds."""
+    return F.struct(*[field(c) for c in docs.columns]).alias("row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is learned from `labels` outside the held-out fold."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # columns named like the answer survive
-    return quality.rate(docs.select("text", row), model).where("predicted = 1").select("row.*")
-
+    """Documents that the quality classifier accepts; it is learned from `labels` outside the held-out fold.
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the one with the most code points, then the smallest doc_id."""
-    found = exact_dedup.exact_dedup(docs)
-    gone = found.where(~F.col("kept")).select(_key().alias("_key"), F.col("text_sha256").alias("_digest"))
-    marked = docs.withColumns({"_key": _key(), "_digest": exact_dedup.sha256(exact_dedup.normalised(F.col("text")))})
-    left = marked.join(gone, ["_key", "_digest"], "left_anti")
-    # Rows that repeat an id and a text are alike to the operator; one of them stays.
-    again = found.where("kept and group_size > 1").groupBy(_key().alias("_key"), F.col("text_sha256").alias("_digest"))
-    if not again.count().where("count > 1").isEmpty():
-        left = left.groupBy("_key", "_digest").agg(F.max_by(F.struct(*docs.columns), F.length("text")).alias("_row")).select("_row.*")
-    return left.select(*docs.columns)
+    Null texts are judged as empty ones. Where no document has a label nothing is learned and
+    nothing rejected.
+    """
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not quality.learned(model):
+        return docs
+    return quality.rate(docs.select("text", _row(docs)), model).where("predicted = 1").select("row.*")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row in _row; written, so that a row keeps it."""
+    """(number, row): each row of docs under a number of its own; written, so that a row keeps it."""
     spark = docs.sparkSession
     folder = fresh_dir(spark, "numbered")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    docs.select(F.monotonically_increasing_id().alias("number"), _row(docs)).write.option("compression", "zstd").parquet(folder)
     return spark.read.parquet(folder)
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Numbered docs but for the given _row, without their numbers; rows are written, so that a few are broadcast."""
-    spark = docs.sparkSession
-    folder = fresh_dir(spark, "gone")
-    rows.write.parquet(folder)
-    return docs.join(spark.read.parquet(folder), "_row", "left_anti").drop("_row")
+def _texts(numbered: DataFrame) -> DataFrame:
+    """Numbered documents as operators take them, by their number for the id."""
+    return numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+
+
+def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered documents but for the given numbers; the numbers are broadcast where they are few."""
+    return numbered.join(small(cut(gone)), "number", "left_anti").select("row.*")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the one with the most code points, then the smallest doc_id, null last."""
+    numbered = _numbered(docs)
+    found = exact_dedup.exact_dedup(numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), carry=["number"])
+    return _without(numbered, found.where(~F.col("kept")).select("number"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id, null last; any one of equal ids."""
-    docs = _numbered(docs)
-    groups = simhash.near_groups(docs.select(F.col("_row").alias("doc_id"), "text"))
-    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row")
-    placed = cut(groups.join(docs.select("_row", "doc_id"), "_row").select("component_id", order.alias("order")))
+    numbered = _numbered(docs)
+    groups = simhash.near_groups(_texts(numbered)).select(F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").cast("long").alias("id"), "number")
+    placed = cut(groups.join(numbered.select("number", order.alias("order")), "number").select("component_id", "order"))
     stay = placed.groupBy("component_id").agg(F.min("order").alias("first"))
-    gone = placed.join(stay, "component_id").where(F.col("order._row") != F.col("first._row"))
-    return _without(docs, gone.select("order._row"))
+    gone = placed.join(stay, "component_id").where(F.col("order.number") != F.col("first.number"))
+    return _without(numbered, gone.select("order.number"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of `benchmark`, each row judged by its own text."""
-    docs = _numbered(docs)
-    leaks = decontam.contained(docs.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.select(F.col("doc_id").alias("_row")).distinct())
+    numbered = _numbered(docs)
+    leaks = decontam.contained(_texts(numbered), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(numbered, leaks.select(F.col("doc_id").alias("number")).distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +92,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`: where each document that they leave is packed.
+
+    Documents are judged row by row: null and repeated ids, null and empty texts are rows like
+    any others (an empty text is a copy of every other empty text). Columns of any names pass
+    through all stages but the last. Of an empty table nothing comes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = fresh_dir(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
