@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, ties, repeats, long and empty texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from spanledger.llm import decontam, exact_dedup, fixity, langid, packing, quality, simhash, suffix_dedup, token_bits, toxicity
+from spanledger.llm import common, decontam, exact_dedup, fixity, langid, packing, quality, simhash, suffix_dedup, token_bits, toxicity
 from spanledger.llm import queries as llm_queries
 
 DOCS = "doc_id long, text string"
@@ -72,10 +73,67 @@ def test_language_pieces_do_not_change_the_sums(monkeypatch):
     assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
 
 
+def brute_bayes(rows, bits):
+    """Plain multinomial naive Bayes over the n-grams of every text: (language, posterior) by text."""
+    def grams(text):
+        own = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + "  "
+        points = np.frombuffer(own.encode("utf-32-le"), "<u4")
+        return [int(c) for part in langid.hashed(points, bits) for c in part if c != 1 << bits]
+
+    names = sorted({g for _, _, g in rows})
+    counts = {k: np.full(1 << bits, 0.05) for k in names}
+    for _, text, g in rows:
+        for c in grams(text):
+            counts[g][c] += 1
+    n = {k: sum(1 for *_, g in rows if g == k) for k in names}
+
+    def predict(text):
+        at = grams(text)
+        total = np.array([np.log(n[k] / len(rows)) + np.log(counts[k][at] / counts[k].sum()).sum() for k in names])
+        odds = np.exp(total - total.max())
+        return names[int(total.argmax())], odds.max() / odds.sum()
+
+    return predict
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    r = random.Random(7)
+    kinds = {"aa": "ab ac ad bé".split(), "bb": "ab ba bb cé".split(), "cc": "ab ca cb dé".split()}
+    rows = [(i, " ".join(r.choice(kinds[k]) for _ in range(r.randint(1, 6))), k) for i, k in enumerate(r.choice(list(kinds)) for _ in range(90))]
+    learn = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    predict = brute_bayes(learn, langid.BITS)
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(rows, DOCS + ", lang string")).collect()}
+    for i, text, _ in rows:
+        name, score = predict(text)
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-3
+
+
 def test_language_of_an_empty_table(spark):
     assert langid.identify(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_language_of_repeats_null_ids_ties_and_clashing_names(spark, monkeypatch):
+    rows = [(None, "le la", None, "own"), (1, "the of", "en", "own"), (1, "the of", "en", "own"), (2, "le la", "fr", "own"), (3, "zz", None, "own")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string, found string")
+    names, prior, matrix = langid.train(docs)
+    got = langid.predict(docs.withColumn("score", F.lit("old")), names, prior, matrix).collect()
+    assert len(got) == 5 and {x.found for x in got} == {"own"} and {x.lang_pred for x in got if x.doc_id == 1} == {"en"}
+    assert all(isinstance(x.score, float) for x in got)
+    even = langid.predict(docs, ["b", "c"], np.zeros(2), np.zeros((2, 65), np.float32)).collect()
+    assert {(x.lang_pred, x.score) for x in even} == {("b", 0.5)}
+
+
+def test_language_of_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 1 << 16)
+    monkeypatch.setattr(langid, "TABLE", 1000)
+    assert langid.bits_for(4) == 14 and langid.bits_for(600) == 6 and langid.bits_for(1) == langid.BITS
+    rows = [(i, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)}", f"l{i:04}") for i in range(600)]
+    names, prior, matrix = langid.train(spark.createDataFrame(rows, DOCS + ", lang string"))
+    assert len(names) == 600 and matrix.shape == (600, 65)
+    got = langid.predict(spark.createDataFrame(rows[:5], DOCS + ", lang string"), names, prior, matrix).collect()
+    assert len(got) == 5 and all(x.lang_pred in set(names) for x in got)
+
+
 # ---- 2 ----
 
 
@@ -126,6 +184,40 @@ def test_boundaries_are_optimal():
         assert padding(packing.boundaries(lengths, counts, k)) == best
 
 
+def test_boundaries_are_optimal_beside_the_budget_and_for_long_texts():
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(r.integers(2, 9))
+        lengths = np.sort(r.choice(np.arange(4000, 9000), n, replace=False))
+        counts, k, budget = r.integers(1, 20, n), int(r.integers(1, 5)), int(r.integers(4000, 9000))
+        fit = [int(x) for x in lengths if x <= budget]
+        forced = fit[-1:] if fit and len(fit) < n else []
+
+        def padding(bounds):
+            return sum(int(c) * (min(b for b in bounds if b >= x) - int(x)) for x, c in zip(lengths, counts, strict=True))
+
+        k = max(k, 1 + len(forced))
+        every = [sorted({*c, *forced, int(lengths[-1])}) for m in range(min(k, n)) for c in combinations(lengths[:-1].tolist(), m)]
+        best = min(padding(b) for b in every if len(b) <= k)
+        got = packing.boundaries(lengths, counts, k, budget)
+        assert padding(got) == best and set(forced) <= set(got) and len(got) <= k
+    lengths = np.arange(1, 40_001)
+    got = packing.boundaries(lengths, np.ones(40_000, int), 16, 32_768)
+    assert 32_768 in got and got[-1] == 40_000 and len(got) == 16
+
+
+def test_packing_of_null_ids_ties_and_clashing_names(spark):
+    rows = [(None, "a b", 1, 2, 3), (None, "a b", 1, 2, 3), (None, None, 1, 2, 3), (4, "c", 1, 2, 3), (4, "c d e f g", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, DOCS + ", n_tokens int, bucket int, place int")
+    got = packing.pack(docs, packing.n_words(F.col("text")), buckets=2, budget=4).collect()
+    assert sorted(x.n_tokens for x in got) == [0, 1, 2, 2, 5] and len({(x.batch_id, x.slot) for x in got}) == 5
+    assert {x.bucket_len for x in got} == {2, 5}
+    nulls = packing.pack(docs, F.lit(None).cast("long")).collect()
+    assert {(x.n_tokens, x.bucket_len) for x in nulls} == {(0, 1)}
+
+
 def test_packing_places_every_row_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 7)
     rows = corpus(4)
@@ -218,7 +310,7 @@ def shingles(text, size):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}, len(w)
 
 
-def test_containment_equals_brute_force(spark):
+def test_containment_equals_brute_force(spark, monkeypatch):
     r = random.Random(8)
     items = [(i, words(r, r.randint(1, 40))) for i in range(25)] + [(90, None), (91, "..."), (3, words(r, 12))]
     docs = corpus(9, 40)
@@ -227,19 +319,41 @@ def test_containment_equals_brute_force(spark):
         for _ in range(r.randint(0, 2)):
             one[r.randrange(len(one))] = "changed"
         docs.append((1000 + k, words(r, r.randint(0, 200)) + "\n" + " , ".join(one).upper() + " " + words(r, 50)))
-    docs += [docs[-1], (None, items[0][1])]
+    docs += [docs[-1], (None, items[0][1]), (None, words(r, 30)), (1000, items[1][1]), (1000, None)]
     want = set()
     grouped = {}
     for i, t in items:
         n = shingles(t, 1)[1]
         if n:
             grouped.setdefault(i, set()).update(shingles(t, min(n, 5))[0])
-    for d, t in docs:
-        if d is not None:
-            there = set().union(*(shingles(t, s)[0] for s in range(1, 6)))
-            want |= {(d, i, len(g), len(g & there)) for i, g in grouped.items() if len(g & there) >= 0.8 * len(g) - 1e-9}
-    got = {tuple(x)[:4] for x in decontam.contained(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == want and len(want) > 20
+    want = []
+    for d, t in set(docs):
+        there = set().union(*(shingles(t, s)[0] for s in range(1, 6)))
+        want += [(d, i, len(g), len(g & there)) for i, g in grouped.items() if len(g & there) >= 0.8 * len(g) - 1e-9]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(x)[:4] for x in decontam.contained(frame(spark, docs), table).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 20
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common.fits, "__defaults__", (0, 0))
+    got = [tuple(x)[:4] for x in decontam.contained(frame(spark, docs), table).collect()]  # nothing is broadcast
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_signatures_are_partitioned_by_size(spark):
+    r = random.Random(18)
+    items = [(i, words(r, r.randint(1, 60))) for i in range(40)] + [(50 + i, "the same first words of all " + words(r, 9)) for i in range(10)]
+    wanted = decontam.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    sets = {}
+    for x in wanted.collect():
+        sets.setdefault(x.item_id, set()).add(x.shingle)
+    got = decontam.signatures(wanted).collect()
+    for i, own in sets.items():
+        rows, n = [x for x in got if x.item_id == i], len(own)
+        need = math.ceil(0.8 * n - 1e-9)
+        assert {(x.n, x.need, x.k) for x in rows} == {(n, need, n - need + 1)} and len({x.h for x in rows}) == n - need + 1
+    common_first = {x.shingle for x in wanted.where("item_id >= 50").groupBy("shingle").count().where("count = 10").collect()}
+    hashes = {x.h for x in spark.createDataFrame([(c,) for c in common_first], "s string").select(F.xxhash64("s").alias("h")).collect()}
+    assert hashes and not hashes & {x.h for x in got}  # what items share does not stand for them while they have more
 
 
 def test_containment_of_empty_tables(spark):
@@ -264,7 +378,54 @@ def test_quality_ranks_junk_below_prose(spark):
     assert all(abs(again[k] - v.score) < 1e-9 for k, v in got.items())
 
 
+def test_quality_is_a_minimum_of_the_pairwise_loss():
+    r = np.random.default_rng(4)
+    rows = r.normal(size=(160, 3)).astype(np.float32)
+    label = (rows[:, 0] + 0.6 * r.normal(size=160) > 0).astype(int)
+    model = quality.fit(rows, label, np.ones(160))
+    x = quality.expand(rows, model["edges"])
+
+    def loss(w):
+        f = x @ w
+        differences = f[label == 1][:, None] - f[label == 0][None, :]
+        return float(np.log1p(np.exp(-differences)).mean() + 0.5e-4 * (w @ w))
+
+    own = loss(model["w"])
+    assert own < 0.6 * loss(np.zeros_like(model["w"]))
+    slope = np.array([(loss(model["w"] + e) - loss(model["w"] - e)) / 2e-4 for e in np.eye(len(model["w"])) * 1e-4])
+    assert np.abs(slope).max() < 0.02  # steps are stochastic: close to where the gradient ends
+    z = model["scale"] * (x @ model["w"] - model["cut"]) + np.log(0.7 / 0.3)
+    share = (label == 0).mean()
+    assert abs((1 / (1 + np.exp(-z)) < 0.7).mean() - share) < 0.02  # the threshold is the quantile of the share marked 0
+
+
+def test_features_of_parts_are_those_of_the_whole(monkeypatch):
+    r = random.Random(71)
+    text = "\n".join(words(r, r.randint(0, 9)) + r.choice(["", " É!", " AB", "\t"]) for _ in range(300))
+    whole = quality.features(text), simhash.fingerprint(text)
+    monkeypatch.setattr(quality, "LONG", 100)
+    monkeypatch.setattr(simhash, "LONG", 100)
+    assert np.allclose(quality.features(text), whole[0], rtol=1e-5) and simhash.fingerprint(text) == whole[1]
+
+
+def test_quality_of_repeats_clashing_names_and_long_texts(spark):
+    r = random.Random(72)
+    rows = [(i, words(r, 40) + "." if i % 2 else "!! ".join(words(r, 40).upper().split())) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, "own") for i in range(120)] * 2, "doc_id long, quality int, text string")
+    more = [(200, words(r, 300_000) + "."), (1, rows[1][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame([(*x, "old", "own") for x in rows + more], DOCS + ", score string, label string")
+    model = quality.train(docs, labels)
+    got = quality.rate(docs, model).collect()
+    assert len(got) == 123 and {x.label for x in got} == {"own"} and all(isinstance(x.score, float) for x in got)
+    assert len({x.score for x in got if x.text == rows[1][1]}) == 1
+    bounded = common.labelled_texts(docs, labels, "quality", F.lit(True), 1000, 4000).collect()
+    assert 5 < len(bounded) < 120 and sum(len(x.text) for x in bounded) <= 4000 and abs(sum(x.weight for x in bounded) - 120) < 1e-6
+
+
 def test_quality_with_one_class_or_no_labels(spark):
+    some = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    one = spark.createDataFrame([(1, "a"), (2, None)], DOCS)
+    assert {x.score for x in quality.quality(one, some).collect()} == {1.0}
     docs, none = spark.createDataFrame([(1, "a"), (2, None)], DOCS), spark.createDataFrame([], "doc_id long, quality int")
     assert {x.score for x in quality.quality(docs, none).collect()} == {0.5}
     assert quality.quality(spark.createDataFrame([], EMPTY), none).collect() == []
@@ -290,6 +451,56 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.toxicity(spark.createDataFrame([], EMPTY), labels).collect() == []
 
 
+def plain_noisy_or(text, weights, bias):
+    """Noisy-or over sentences, word by word."""
+    clean, worst = 1.0, 0.0
+    for sentence in re.split(r"(?<=[.!?])\S*\s+|\n", (text or "").lower()):
+        found = re.findall(r"[^\W\d_]+", sentence)
+        if found:
+            z = bias + sum(weights.get(c, 0.0) for w in found for c in toxicity.columns_of(w))
+            p = 1 / (1 + math.exp(-z))
+            clean, worst = clean * (1 - p), max(worst, p)
+    return 1 - clean, worst
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(monkeypatch):
+    r = random.Random(73)
+    weights = {toxicity.column(w): v for w, v in (("red", 1.0), ("river", 2.5), ("^rive", 0.7), ("stone", -1.5), ("É".lower(), 2.0))}
+    texts = [". ".join(words(r, r.randint(0, 9)) for _ in range(r.randint(0, 8))) + r.choice([".", "", "\n", "! É"]) for _ in range(60)] + [None, "...", "7 8", "a.b c"]
+    want = [plain_noisy_or(t, weights, -4.0) for t in texts]
+    model = {"columns": list(weights), "w": list(weights.values()), "bias": -4.0}
+    for long, piece, cache in ((1 << 20, 1 << 18, 1 << 19), (40, 1 << 18, 1 << 19), (1 << 20, 30, 20), (40, 30, 20)):
+        monkeypatch.setattr(toxicity, "LONG", long)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "CACHE", cache)
+        got = toxicity.Judge(model).batch(texts)
+        assert np.allclose([x[0] for x in got], [x[0] for x in want]) and np.allclose([x[3] for x in got], [x[1] for x in want])
+
+
+def test_toxicity_significance_equals_plain_counting(spark):
+    r = random.Random(74)
+    rows = [(r.randint(0, 30), r.randint(0, 70)) for _ in range(50)]
+    rows = [(h, h + k) for h, k in rows]
+    table = spark.createDataFrame(rows, "hits long, rows long")
+    got = [x[0] for x in table.select(toxicity.ratio(F.col("hits"), F.col("rows"), 30, 100)).collect()]
+    for (h, k), g in zip(rows, got, strict=True):
+        cells = [[h, k - h], [30 - h, 70 - k + h]]
+        want = sum(2 * cells[i][j] * math.log(cells[i][j] * 100 / (sum(cells[i]) * (cells[0][j] + cells[1][j]))) for i in (0, 1) for j in (0, 1) if cells[i][j])
+        assert abs(g - want) < 1e-6
+
+
+def test_toxicity_without_labels_with_one_class_and_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b. c", "own"), (1, "a b. c", "own"), (None, "d", "own"), (2, None, "own"), (3, "x " * 700_000, "own")], DOCS + ", judged string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {(x.score, x.predicted) for x in toxicity.toxicity(docs, none).collect()} == {(0.0, 0)}
+    one = spark.createDataFrame([(1, 1), (1, 1), (None, 0)], "doc_id long, toxic int")
+    assert {(x.score, x.predicted) for x in toxicity.toxicity(docs, one).collect()} == {(1.0, 1)}
+    clean = spark.createDataFrame([(1, 0), (1, None)], "doc_id long, toxic int")
+    assert {(x.score, x.predicted) for x in toxicity.toxicity(docs, clean).collect()} == {(0.0, 0)}
+    got = toxicity.rate(docs, {"columns": [toxicity.column("x")], "w": [0.1], "bias": -3.0}).collect()
+    assert len(got) == 5 and {x.judged for x in got} == {"own"} and [x.predicted for x in got if x.doc_id == 3] == [1]
+
+
 # ---- 7 ----
 
 
@@ -337,6 +548,12 @@ def test_simhash_groups_equal_brute_force(spark, monkeypatch):
     assert simhash.near_groups(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_simhash_of_null_ids(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (None, "q w"), (None, None), (3, "")]
+    got = sorted(((x.doc_id, x.component_id) for x in simhash.near_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 7), (None, 7), (7, 7), (None, None), (None, 3), (3, 3)], key=str)
+
+
 def test_simhash_walk_and_layouts_miss_no_link():
     r = np.random.default_rng(1)
     for _ in range(8):
@@ -387,22 +604,36 @@ def test_exact_dedup_equals_brute_force(spark, weak):
     assert got == brute_exact(rows)
 
 
-def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+def test_exact_dedup_goes_on_from_its_state_and_checks_bytes(spark, tmp_path):
+    schema = "digest string, doc_id long, locator long, n_points int, body string"
+
     def run(rows):
-        part = tmp_path / f"in/{rows[0][1]}"
-        spark.createDataFrame(rows, "digest string, doc_id long, locator string, n_points int").coalesce(1).write.parquet(str(part))
-        stream = spark.readStream.schema("digest string, doc_id long, locator string, n_points int").parquet(str(tmp_path / "in/*"))
-        exact_dedup.fold_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"))
-        return {x.digest: (x.keep.locator, x.n_rows) for x in exact_dedup.current_state(spark, str(tmp_path / "out")).collect()}
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{rows[0][2]}"))
+        stream = spark.readStream.schema("digest string, doc_id long, locator long, n_points int").parquet(str(tmp_path / "in/*"))
+        content = spark.read.schema(schema).parquet(str(tmp_path / "in/*")).select("digest", "locator", "body")
+        exact_dedup.fold_stream(stream, content, str(tmp_path / "state"), str(tmp_path / "out"))
+        state = {x.digest: (-x.keep.place, x.n_rows) for x in exact_dedup.current_state(spark, str(tmp_path / "out")).collect()}
+        return state, {x.digest for x in exact_dedup.mixed_digests(spark, str(tmp_path / "out")).collect()}
 
-    assert run([("a", 5, "five", 10), ("b", 6, "six", 3)]) == {"a": ("five", 1), "b": ("six", 1)}
-    assert run([("a", 4, "four", 10), ("b", 9, "nine", 3)]) == {"a": ("four", 2), "b": ("six", 2)}
+    assert run([("a", 5, 50, 10, "aa"), ("b", 6, 60, 3, "bb")]) == ({"a": (50, 1), "b": (60, 1)}, set())
+    assert run([("a", 4, 40, 10, "aa"), ("b", 9, 90, 3, "other")]) == ({"a": (40, 2), "b": (60, 2)}, {"b"})
+    assert run([("a", 1, 41, 11, "ab"), ("c", 9, 91, 3, "cc")]) == ({"a": (41, 3), "b": (60, 2), "c": (91, 1)}, {"a", "b"})
 
 
-def test_exact_dedup_of_nothing_and_of_null_ids(spark):
+def test_exact_dedup_of_nothing_and_of_null_and_repeated_ids(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], EMPTY)).collect() == []
-    got = sorted(tuple(x)[:4] for x in exact_dedup.exact_dedup(frame(spark, [(None, "x y"), (4, "xy "), (4, "xy ")])).collect() if x.doc_id is not None)
-    assert got == [(4, 4, 3, True)] * 2
+    rows = [(None, "x y"), (4, "xy "), (4, "xy "), (None, "p q"), (None, "pq "), (None, "p  q"), (8, None), (8, ""), (9, "z" * 2_000_000)]
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    assert sorted((x.keep_id, x.group_size, x.kept) for x in got if x.keep_id is not None) == sorted([(4, 3, False)] * 2 + [(4, 3, True)] + [(8, 2, True), (8, 2, False), (9, 1, True)])
+    assert sorted((x.doc_id, x.group_size, x.kept) for x in got if x.keep_id is None) == [(None, 3, False)] * 2 + [(None, 3, True)]
+
+
+def test_exact_dedup_carries_columns_and_ignores_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "d1", 10), (2, "a ", "d2", 20)], DOCS + ", digest string, number int")
+    got = sorted((x.number, x.kept) for x in exact_dedup.exact_dedup(docs, carry=["number"]).collect())
+    assert got == [(10, False), (20, True)]
+    weak = exact_dedup.exact_dedup(docs, lambda c: F.lit("one"), carry=["number"]).collect()
+    assert sorted((x.number, x.kept) for x in weak) == got
 
 
 # ---- 9 ----
@@ -427,15 +658,44 @@ def test_bits_round_trip():
 
 
 def test_encoder_equals_the_tokenizer():
-    coder = token_bits.Encoder(tokenizer_path())
+    coder = token_bits.Encoder(token_bits._contents(tokenizer_path()))
     texts = ["Hello, World! it's 42", "É cole naïve", "é x", "<|endoftext|> a<|startoftext|>b", "a\x1cb", "İstanbul Σς", "日本語 text", "", " \n\t", "snake_case __ x²½", "don't WE'LL 'tis", " wide space", "ß ŉ ſ"]
     for text in texts:
         assert coder.ids(text).tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_encoder_of_any_other_tokenizer_file(monkeypatch):
+    import json
+
+    contents = token_bits._contents(tokenizer_path())
+    assert token_bits.splits_at_white_space(json.loads(contents))
+    spec = json.loads(contents)
+    spec["normalizer"] = None
+    coder = token_bits.Encoder(json.dumps(spec))
+    other = token_bits.Encoder(token_bits._contents(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")))
+    assert not coder.by_chunk and not other.by_chunk
+    for text in ("Hello  World", "It's É", ""):
+        for own in (coder, other):
+            assert own.ids(text).tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    whole = token_bits.Encoder(contents)
+    monkeypatch.setattr(token_bits, "LONG", 3)
+    assert token_bits.Encoder(contents).ids("a long text in parts").tolist() == [*whole.tokenizer.encode("a long text in parts", add_special_tokens=False).ids, 1]
+
+
+def test_token_bits_of_null_and_repeated_ids(spark):
+    rows = [(None, "b a"), (None, "c"), (None, None), (5, "x y z"), (5, "q"), (5, "q"), (-3, "")]
+    want = None
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame([(*x, "own") for x in rows], DOCS + ", hash string").repartition(parts)
+        got = sorted((tuple(x)[:4] for x in token_bits.token_bits(docs, tokenizer_path()).collect()), key=lambda x: x[1])
+        assert [x[0] for x in got] == [None, None, None, -3, 5, 5, 5]
+        want = want or got
+        assert got == want
+
+
 def test_token_bits_equals_brute_force(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_bits, "CACHE", 50)
-    coder = token_bits.Encoder(tokenizer_path())
+    coder = token_bits.Encoder(token_bits._contents(tokenizer_path()))
     rows = corpus(31)
     token_bits.write(frame(spark, rows), str(tmp_path / "t"), tokenizer_path(), block_ids=300)
     got = sorted(tuple(x)[:4] for x in token_bits.read(spark, str(tmp_path / "t")).collect())
@@ -505,3 +765,26 @@ def test_pipeline_leaks_are_decided_by_row(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.drop_leaks(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(map(str, ((x.doc_id, x.text, x.bucket) for x in got))) == sorted(str((*rows[i], "own")) for i in (1, 3, 4, 5, 6))
+
+
+def test_pipeline_of_nulls_repeats_odd_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(47)
+    text, other = words(r, 60) + ".", words(r, 60) + "."
+    rows = [(None, text), (None, text + " "), (1, text), (1, other), (None, None), (2, ""), (3, other + " x")]
+    schema = "doc_id long, text string, number string, row string, `a.b` string, digest string, score string"
+    docs = spark.createDataFrame([(*x, "n", "r", "ab", "d", "s") for x in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        assert got and list(got[0].asDict()) == docs.columns, name
+        assert {(x.number, x.row, x["a.b"], x.digest, x.score) for x in got} == {("n", "r", "ab", "d", "s")}
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "").collect()
+    assert sorted(map(str, ((x.doc_id, x.text) for x in exact))) == sorted(map(str, [(None, text + " "), (1, other), (2, ""), (3, other + " x")]))
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) >= 2
+    nothing = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).collect() == []
