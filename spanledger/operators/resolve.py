@@ -1,15 +1,14 @@
 """From extracted items to a ledger: merging, corrections, closed questions, contradictions (R1-R10, AG1, J3-J5).
 
-Everything is keyed by history_id. Only the two folds that depend on order run in Python, and
-only for histories that have something to fold; all text work is done before, in columns.
+Everything is keyed by history_id. What may replace, answer or contradict what is found by joins
+and scored pair by pair in columns. Only liveness depends on order: whether a rival is still
+there when a correction or an answer is reached. That is a fold over each history's scored
+pairs, of which only those near the threshold are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -92,191 +91,302 @@ def traits(items: DataFrame) -> DataFrame:
     ).withColumn("scope", F.when(F.size("scope") == 1, F.get("scope", F.lit(0))))
 
 
-TRAITS = ["tokens", "negated", "database", "revokes", "adds", "replaces", "marked", "commitments", "confirms", "scope"]
-
-
-def _opposed(a: dict, b: dict) -> bool:
-    """R8 on two rows of traits."""
-    if a["scope"] and b["scope"] and a["scope"] != b["scope"]:
-        return False
-    left, right = set(a["tokens"]), set(b["tokens"])
-    for pair in map(set, lx.ANTONYMS):
-        rest = left - pair
-        sides = left & pair, right & pair
-        if rest and rest == right - pair and any(x != y for x in sides[0] for y in sides[1]):
-            return True
-    one, two = a["database"], b["database"]
-    drop = set(lx.DATABASE_WORDS)
-    return bool(one and two and one != two and left - drop - {one} == right - drop - {two})
-
-
-def _digits(tokens: set[str]) -> set[str]:
-    return {t for t in tokens if any(c.isdigit() for c in t)}
-
-
-def replacement_score(correction: dict, prior: dict) -> float | None:
-    """How well a correction fits an earlier item, or None without evidence that it replaces it."""
-    new, old = set(correction["tokens"]), set(prior["tokens"])
-    shared = new & old
-    words = shared - _digits(shared)
-    opposed = _opposed(correction, prior)
-    if prior["kind"] == "constraint" and prior["commitments"] > 1:
-        return None
-    if correction["adds"] and not correction["replaces"]:
-        return None
-    moved = _digits(new) and _digits(old) and not _digits(new) & _digits(old) and words
-    flipped = correction["negated"] != prior["negated"] and len(words) >= 2
-    if not (correction["replaces"] and shared or moved or flipped or opposed):
-        return None
-    if not new or not old:
-        return 0.0
-    score = len(shared) / min(len(new), len(old))
-    if any(c.isdigit() or c in "/\\." for t in shared for c in t):
-        score += 0.35
-    if prior["kind"] != "exact_reference" and len(words) < 2 and not (len(old) <= 2 and old <= new):
-        score = min(score, 0.40)
-    if opposed:
-        score = max(score, 0.75)
-    if correction["revokes"] and shared:
-        score = max(score, 0.70)
-    return min(1.0, score)
-
-
-def link_corrections(rows: list[dict]) -> list[dict]:
-    """R5, R6 for one history: rows with traits in, rows with links and replacements out.
-
-    Corrections are taken in order of sequence and id. What a correction replaces is no longer
-    there for the next, and what it puts in its place is.
+#: What a pair of items is judged by.
+JUDGED = [
+    "kind", "sequence", "text", "priority", "confidence", "tags", "tokens", "words", "numbers", "negated", "exclusive", "scope", "database",
+    "subject", "revokes", "adds", "replaces", "commitments", "provenance", "roles",
+]
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _shared(x: Column, y: Column, field: str) -> Column:
+    return F.size(F.array_intersect(x[field], y[field]))
+
+
+def opposed(x: Column, y: Column) -> Column:
+    """Two texts that differ in one database or in one antonym, and name no different scopes."""
+    apart = F.coalesce(x["scope"] != y["scope"], F.lit(False))
+    out = F.coalesce((x["database"] != y["database"]) & (x["subject"] == y["subject"]), F.lit(False))
+    for one, two in lx.ANTONYMS:
+        rest = [_without(s["tokens"], one, two) for s in (x, y)]
+        facing = (F.array_contains(x["tokens"], one) & F.array_contains(y["tokens"], two)) | (F.array_contains(x["tokens"], two) & F.array_contains(y["tokens"], one))
+        out = out | (facing & (F.size(rest[0]) > 0) & (rest[0] == rest[1]))
+    return ~apart & out
+
+
+def _without(tokens: Column, one: str, two: str) -> Column:
+    return F.array_sort(F.array_except(tokens, F.array(F.lit(one), F.lit(two))))
+
+
+def replaceable(c: Column, p: Column, kind: Column, against: Column) -> Column:
+    """Whether correction c has evidence that it replaces p, taken as an item of the given kind; against says if they are opposed."""
+    words = _shared(c, p, "words")
+    firm = (kind == "constraint") & (p["commitments"] > 1)
+    only_adds = c["adds"] & ~c["replaces"]
+    evidence = F.array(
+        c["replaces"] & (_shared(c, p, "tokens") > 0),
+        (F.size(c["numbers"]) > 0) & (F.size(p["numbers"]) > 0) & ~F.arrays_overlap(c["numbers"], p["numbers"]) & (words > 0),
+        (c["negated"] != p["negated"]) & (words >= 2),
+        against,
+    )
+    return ~firm & ~only_adds & F.exists(evidence, lambda e: e)
+
+
+def replacement_score(c: Column, p: Column, kind: Column, against: Column) -> Column:
+    """How well correction c fits p, taken as an item of the given kind, from 0 to 1."""
+    both = F.array_intersect(c["tokens"], p["tokens"])
+    share = F.size(both) / F.least(F.size(c["tokens"]), F.size(p["tokens"]))
+    named = F.exists(both, lambda t: t.rlike(r"(?U)[\d/\\\\.]"))
+    whole = (F.size(p["tokens"]) <= 2) & (F.size(F.array_except(p["tokens"], c["tokens"])) == 0)
+    thin = (kind != "exact_reference") & (_shared(c, p, "words") < 2) & ~whole
+    base = share + F.when(named, lx.IDENTIFIER).otherwise(0.0)
+    base = F.when(thin, F.least(base, F.lit(lx.THIN))).otherwise(base)
+    least = F.when(against, lx.OPPOSED).when(c["revokes"] & (F.size(both) > 0), lx.REVOKED).otherwise(0.0)
+    empty = (F.size(c["tokens"]) == 0) | (F.size(p["tokens"]) == 0)
+    return F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(base, least)))
+
+
+def _judged(items: DataFrame) -> DataFrame:
+    """(history_id, id, j) with what pairs are judged by."""
+    own = traits(items).withColumn("subject", F.array_sort(F.array_except("tokens", F.concat(F.array(*[F.lit(w) for w in lx.DATABASE_WORDS]), F.array(F.coalesce("database", F.lit("")))))))
+    return own.select("history_id", "id", F.struct(*JUDGED).alias("j"))
+
+
+def _earlier(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs of judged items (history_id, own, other) that share a token or both name a database, other being earlier."""
+    database = F.when(F.col("j.database").isNotNull(), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    keys = lambda df, n: df.select("history_id", F.struct("id", "j").alias(n), F.explode(F.concat("j.tokens", database)).alias("key"))
+    met = keys(later, "own").join(keys(earlier, "other"), ["history_id", "key"]).where(F.col("other.j.sequence") < F.col("own.j.sequence"))
+    # A pair that shares several keys counts at the first of them.
+    shared = F.array_intersect(F.col("own.j.tokens"), F.col("other.j.tokens"))
+    first = F.when(F.size(shared) > 0, F.get(shared, F.lit(0))).otherwise(F.lit(""))
+    return met.where(F.col("key") == first).select("history_id", "own", "other")
+
+
+def _ranked(pairs: DataFrame, score: Column, least: float, **more: Column) -> DataFrame:
+    """(history_id, id, rivals): each item's candidates that can win or block, best score first, then the latest.
+
+    What scores further below the threshold than the gap can do neither.
+    """
+    scored = pairs.withColumn("score", score).where(F.col("score") > least - lx.GAP - 1e-9)
+    rival = F.struct((-F.col("score")).alias("rank"), (-F.col("other.j.sequence")).alias("age"), F.col("other.id").alias("id"), *[c.alias(k) for k, c in more.items()])
+    return scored.groupBy("history_id", F.col("own.id").alias("id")).agg(F.array_sort(F.collect_list(rival)).alias("rivals"))
+
+
+def _verdict(rivals: Column, least: float) -> Column:
+    """Weak, unclear or clear, by the best of the rivals and the next one's distance."""
+    best, second = F.get(rivals, F.lit(0)), F.get(rivals, F.lit(1))
+    weak = F.coalesce(-best["rank"] < least, F.lit(True))
+    return F.when(weak, "weak").when(F.coalesce(second["rank"] - best["rank"] < lx.GAP, F.lit(False)), "unclear").otherwise("clear")
+
+
+def _changed(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """items with changes (history_id, id, tag, target, gone) made: tags and edges added, status superseded where gone."""
+    each = changes.groupBy("history_id", "id").agg(
+        F.collect_set("tag").alias("_tags"), F.collect_set("target").alias("_targets"), F.bool_or("gone").alias("_gone")
+    )
+    none = F.array().cast("array<string>")
+    return items.join(each, ["history_id", "id"], "left").select(
+        *[c for c in COLUMNS if c not in ("status", "tags", "supersedes")],
+        F.when(F.coalesce("_gone", F.lit(False)), "superseded").otherwise(F.col("status")).alias("status"),
+        F.array_sort(F.array_union("tags", F.coalesce("_tags", none))).alias("tags"),
+        F.array_sort(F.array_union("supersedes", F.coalesce("_targets", none))).alias("supersedes"),
+    )
+
+
+MADE = "array<struct<id:string,kind:string,priority:int,sequence:bigint>>"
+LINK = "struct<own:string,verdict:string,prior:string,target:string,heir:string,made:string,kind:string,priority:int>"
+
+
+def _walk(corrections: Column) -> Column:
+    """Links of one history's corrections, taken in order.
+
+    What a correction replaces is no rival any more for the next, and what it puts in its place
+    is one: rivals with ``maker`` count only if that correction made an item of their kind.
     """
-    state = sorted(rows, key=lambda r: (r["sequence"], r["id"]))
-    for own in [r for r in state if r["kind"] == "user_correction"]:
-        if not own["marked"] and "explicit-correction-label" not in own["tags"]:
-            continue
-        ranked = []
-        for place, prior in enumerate(state):
-            if prior["kind"] in REPLACEABLE and prior["status"] == "active" and prior["sequence"] < own["sequence"]:
-                score = replacement_score(own, prior)
-                if score is not None:
-                    ranked.append((-score, -prior["sequence"], place))
-        ranked.sort()
-        if not ranked or -ranked[0][0] < lx.REPLACES:
-            own["tags"] = sorted({*own["tags"], "additive-clarification"})
-            continue
-        if len(ranked) > 1 and ranked[1][0] - ranked[0][0] < lx.GAP:
-            own["tags"] = sorted({*own["tags"], "ambiguous-supersession"})
-            continue
-        prior = state[ranked[0][2]]
-        prior["status"] = "superseded"
-        prior["tags"] = sorted({*prior["tags"], "superseded-by-correction"})
-        own["supersedes"] = sorted({*own["supersedes"], prior["id"]})
-        if own["revokes"]:
-            continue
-        stated = (r for r in state if r is not own and r["kind"] == prior["kind"] and r["sequence"] == own["sequence"] and "correction-derived" in r["tags"])
-        heir = next(stated, None)
-        if heir is not None:
-            heir["supersedes"] = sorted({*heir["supersedes"], prior["id"]})
-            continue
-        state.append(
-            own
-            | {
-                "id": f"r-{own['id']}",  # until items are merged again
-                "kind": prior["kind"],
-                "status": "active",
-                "priority": max(prior["priority"], own["priority"]),
-                "confidence": min(own["confidence"], 0.95),
-                "tags": sorted({*own["tags"], "correction-derived", "current-value"}),
-                "supersedes": [prior["id"]],
-            }
+    first = F.struct(F.array().cast("array<string>").alias("gone"), F.array().cast(MADE).alias("made"), F.array().cast(f"array<{LINK}>").alias("links"))
+
+    def known(state: Column, rival: Column) -> Column:
+        return F.get(F.filter(state["made"], lambda m: (m["id"] == rival["id"]) & (m["kind"] == rival["kind"])), F.lit(0))
+
+    def link(state: Column, own: Column, left: Column) -> Column:
+        verdict, best = _verdict(left, lx.REPLACES), F.get(left, F.lit(0))
+        clear = verdict == "clear"
+        stated = F.try_element_at(own["heirs"], best["kind"])
+        raised = F.get(F.filter(state["made"], lambda m: (m["kind"] == best["kind"]) & (m["sequence"] == own["sequence"])), F.lit(0))
+        heir = F.when(clear & ~own["revokes"], F.coalesce(stated, raised["id"]))
+        makes = clear & ~own["revokes"] & heir.isNull()
+        priority = F.greatest(F.coalesce(known(state, best)["priority"], best["priority"]), own["priority"])
+        return F.struct(
+            own["id"].alias("own"), verdict.alias("verdict"), F.when(clear, best["id"]).alias("prior"), F.when(clear, best["target"]).alias("target"),
+            heir.alias("heir"), F.when(makes, F.concat(F.lit("r-"), own["id"])).alias("made"), F.when(makes, best["kind"]).alias("kind"), F.when(makes, priority).alias("priority"),
+        )
+
+    def step(state: Column, own: Column) -> Column:
+        alive = lambda r: ~F.array_contains(state["gone"], r["id"]) & (r["maker"].isNull() | known(state, r).isNotNull())
+        return _let(
+            _let(F.filter(own["rivals"], alive), lambda left: link(state, own, left)),
+            lambda found: F.struct(
+                F.when(found["prior"].isNull(), state["gone"]).otherwise(F.concat(state["gone"], F.array(found["prior"]))).alias("gone"),
+                F.when(found["made"].isNull(), state["made"]).otherwise(
+                    F.concat(state["made"], F.array(F.struct(found["made"].alias("id"), found["kind"].alias("kind"), found["priority"].alias("priority"), own["sequence"].alias("sequence"))))
+                ).alias("made"),
+                F.concat(state["links"], F.array(found)).alias("links"),
+            ),
         )
-    return state
-
-
-def close_questions(rows: list[dict]) -> list[dict]:
-    """R7 for one history: a later confirmation closes the one open question it answers."""
-    state = sorted(rows, key=lambda r: (r["sequence"], r["id"]))
-    for own in [r for r in state if r["kind"] == "confirmed_fact" and r["confirms"]]:
-        if own["status"] != "active" or not {r.lower() for r in own["roles"]} <= set(lx.STATE_ROLES):
-            continue
-        ranked = []
-        for place, asked in enumerate(state):
-            if asked["kind"] != "unresolved" or asked["status"] != "active" or asked["sequence"] >= own["sequence"] or "detected-conflict" in asked["tags"]:
-                continue
-            shared = len(set(asked["tokens"]) & set(own["tokens"]))
-            if shared >= 2:
-                ranked.append((-shared / min(len(asked["tokens"]), len(own["tokens"])), -asked["sequence"], place))
-        ranked.sort()
-        if not ranked or -ranked[0][0] < lx.CLOSES or len(ranked) > 1 and ranked[1][0] - ranked[0][0] < lx.GAP:
-            continue
-        asked = state[ranked[0][2]]
-        asked["status"] = "superseded"
-        own["supersedes"] = sorted({*own["supersedes"], asked["id"]})
-        own["tags"] = sorted({*own["tags"], "resolves-protected"})
-    return state
-
-
-def _folded(items: DataFrame, needs: Column, fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Runs a fold over the histories in which some row needs it; the others pass by."""
-    named = items.withColumn("_needs", F.max(needs).over(_history()))
-    told = traits(named.where("_needs")).select(*COLUMNS, *TRAITS)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*COLUMNS).schema)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.to_dict("records")
-        for r in rows:
-            r["database"], r["scope"] = r["database"] or None, r["scope"] or None
-            r |= {k: list(r[k]) for k in ("tags", "supersedes", "roles", "tokens")}
-        return pd.DataFrame([{k: r[k] for k in COLUMNS} for r in fold(rows)], columns=COLUMNS)
-
-    return told.groupBy("history_id").applyInPandas(run, schema).unionByName(named.where("not _needs").select(*COLUMNS))
-
-
-def _history():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("history_id")
 
+    return F.aggregate(corrections, first, step, lambda s: s["links"])
 
-def conflict_pairs(items: DataFrame) -> DataFrame:
-    """Contradicting pairs (history_id, kind, left, right, left_text, right_text ...), left earlier in the ledger.
 
-    Only items that share a token are compared, or both name a database: what contradicts
-    shares words, a remainder or a subject, except database values whose subject may be empty.
+def correction_links(items: DataFrame) -> DataFrame:
+    """What each correction does (history_id, own, verdict, prior, target, heir, made, kind, priority).
+
+    items are merged. weak: no rival is near enough; unclear: two are as near; clear: prior
+    goes, and unless the correction only revokes, an item stated with it (heir) or one made of
+    its text (made, of the prior's kind) stands for it. target is prior's id once items are
+    merged again.
     """
-    own = traits(items.where((F.col("status") == "active") & F.col("kind").isin(CONFLICT_KINDS)))
-    subject = F.array_except("tokens", F.concat(F.array(*[F.lit(w) for w in lx.DATABASE_WORDS]), F.array(F.coalesce("database", F.lit("")))))
-    bare = F.array_except("words", F.array(*[F.lit(w) for w in lx.GENERIC_WORDS]))
-    own = own.select(
-        "history_id", "kind", "id", "sequence", "text", "tokens", "words", "numbers", "negated", "exclusive", "scope", "database",
-        F.array_sort(subject).alias("subject"), F.array_sort(bare).alias("bare"), "provenance", "roles",
+    live = (F.col("status") == "active") & F.col("kind").isin(REPLACEABLE)
+    own = settle(_judged(items.where(live | (F.col("kind") == "user_correction"))))
+    labelled = F.array_contains("j.tags", "explicit-correction-label")
+    fixes = own.where((F.col("j.kind") == "user_correction") & (tx.like(F.col("j.text"), lx.CORRECTION_MARKER) | labelled))
+    priors = own.where(F.col("j.kind") != "user_correction")
+    nobody = F.lit(None).cast("string")
+    met = _earlier(fixes, priors).select("*", F.col("other.j.kind").alias("as_kind"), F.col("other.id").alias("as_id"), F.col("other.id").alias("target"), nobody.alias("maker"))
+    # What an earlier correction may put in place of a prior: its own text, as an item of any of the kinds.
+    again = _earlier(fixes, fixes.where(~F.col("j.revokes"))).select("*", F.explode(F.array(*[F.lit(k) for k in REPLACEABLE])).alias("as_kind"))
+    again = again.select("*", F.concat(F.lit("r-"), "other.id").alias("as_id"), item_id(F.col("as_kind"), tx.normal(F.col("other.j.text"))).alias("target"), F.col("other.id").alias("maker"))
+    pairs = met.unionByName(again)
+    c, p, kind = F.col("own.j"), F.col("other.j"), F.col("as_kind")
+    pairs = pairs.withColumn("against", opposed(c, p))
+    pairs = pairs.where(replaceable(c, p, kind, F.col("against"))).withColumn("other", F.struct(F.col("as_id").alias("id"), p.alias("j")))
+    rivals = _ranked(pairs, replacement_score(c, p, kind, F.col("against")), lx.REPLACES, target=F.col("target"), kind=kind, priority=p["priority"], maker=F.col("maker"))
+    derived = items.where(F.array_contains("tags", "correction-derived")).groupBy("history_id", "sequence", "kind").agg(F.min("id").alias("heir"))
+    heirs = derived.groupBy("history_id", "sequence").agg(F.map_from_entries(F.collect_list(F.struct("kind", "heir"))).alias("heirs"))
+    rows = fixes.select("history_id", "id", F.col("j.sequence").alias("sequence"), F.col("j.priority").alias("priority"), F.col("j.revokes").alias("revokes"))
+    rows = rows.join(rivals, ["history_id", "id"], "left").join(heirs, ["history_id", "sequence"], "left")
+    none = F.array().cast(rivals.schema["rivals"].dataType)
+    entry = F.struct("sequence", "id", "priority", "revokes", F.coalesce("heirs", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("heirs"), F.coalesce("rivals", none).alias("rivals"))
+    # Sorted by hand, since maps have no order.
+    walked = rows.select("history_id", "sequence", "id", entry.alias("entry")).groupBy("history_id").agg(
+        F.array_sort(F.collect_list("entry"), lambda a, b: F.when(a["sequence"] < b["sequence"], -1).when(a["sequence"] > b["sequence"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("entries")
+    )
+    return walked.select("history_id", F.explode(_walk(F.col("entries"))).alias("l")).select("history_id", "l.*")
+
+
+def link_corrections(items: DataFrame) -> DataFrame:
+    """Merged items with what their corrections did; merged again."""
+    links = settle(correction_links(items))
+    if links.isEmpty():
+        return items
+    said = F.when(F.col("verdict") == "weak", "additive-clarification").when(F.col("verdict") == "unclear", "ambiguous-supersession")
+    no = F.lit(False)
+    nothing = F.lit(None).cast("string")
+    clear = links.where("verdict = 'clear'")
+    changes = (
+        links.select("history_id", F.col("own").alias("id"), said.alias("tag"), "target", no.alias("gone"))
+        .unionByName(clear.select("history_id", F.col("prior").alias("id"), F.lit("superseded-by-correction").alias("tag"), nothing.alias("target"), F.lit(True).alias("gone")))
+        .unionByName(clear.where("heir is not null").select("history_id", F.col("heir").alias("id"), nothing.alias("tag"), "target", no.alias("gone")))
+    )
+    made = clear.where("made is not null").select("history_id", F.col("own").alias("id"), "made", F.col("kind").alias("_kind"), F.col("priority").alias("_priority"), "target")
+    fresh = items.join(made, ["history_id", "id"]).select(
+        "history_id", F.col("made").alias("id"), F.col("_kind").alias("kind"), "text", F.lit("active").alias("status"), F.col("_priority").alias("priority"),
+        F.least("confidence", F.lit(lx.DERIVED_CONFIDENCE)).alias("confidence"), "exact",
+        F.array_sort(F.array_union("tags", F.array(F.lit("correction-derived"), F.lit("current-value")))).alias("tags"),
+        F.array("target").alias("supersedes"), "conflicts_with", "provenance", "sequence", "roles", "extractors",
     )
-    own = settle(own)
-    keys = own.select("history_id", "kind", "id", "sequence", F.explode(F.concat("tokens", F.when(F.col("database").isNotNull(), F.array(F.lit("\u0001"))).otherwise(F.array().cast("array<string>")))).alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    after = (F.col("a.sequence") < F.col("b.sequence")) | ((F.col("a.sequence") == F.col("b.sequence")) & (F.col("a.id") < F.col("b.id")))
-    met = (
-        a.join(b, (F.col("a.history_id") == F.col("b.history_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & after)
-        .select(F.col("a.history_id").alias("history_id"), F.col("a.kind").alias("kind"), F.col("a.id").alias("left"), F.col("b.id").alias("right"))
-        .distinct()
+    return canonicalize(_changed(items.select(*COLUMNS).unionByName(fresh), changes))
+
+
+def closing_links(items: DataFrame) -> DataFrame:
+    """Which open question each confirmation closes (history_id, own, prior): the one it answers clearly, unless it is closed already."""
+    marked = (F.col("kind") == "confirmed_fact") & tx.like(F.col("text"), lx.CONFIRMATION)
+    stated = F.size(F.array_except(F.transform("roles", F.lower), F.array(*[F.lit(r) for r in lx.STATE_ROLES]))) == 0
+    open_ = (F.col("kind") == "unresolved") & ~F.array_contains("tags", "detected-conflict")
+    live = items.where("status = 'active'")
+    facts, asked = _judged(live.where(marked & stated)), _judged(live.where(open_))
+    pairs = _earlier(facts, asked)
+    shared = _shared(F.col("own.j"), F.col("other.j"), "tokens")
+    score = shared / F.least(F.size("own.j.tokens"), F.size("other.j.tokens"))
+    rivals = _ranked(pairs.where(shared >= 2), score, lx.CLOSES).join(facts.select("history_id", "id", F.col("j.sequence").alias("sequence")), ["history_id", "id"])
+    walked = rivals.groupBy("history_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "id", "rivals"))).alias("entries"))
+    first = F.struct(F.array().cast("array<string>").alias("gone"), F.array().cast("array<struct<own:string,prior:string>>").alias("links"))
+
+    def step(state: Column, own: Column) -> Column:
+        left = F.filter(own["rivals"], lambda r: ~F.array_contains(state["gone"], r["id"]))
+        return _let(
+            F.struct(_verdict(left, lx.CLOSES).alias("verdict"), F.get(left, F.lit(0))["id"].alias("prior")),
+            lambda v: F.when(
+                v["verdict"] == "clear",
+                F.struct(
+                    F.concat(state["gone"], F.array(v["prior"])).alias("gone"),
+                    F.concat(state["links"], F.array(F.struct(own["id"].alias("own"), v["prior"].alias("prior")))).alias("links"),
+                ),
+            ).otherwise(state),
+        )
+
+    return walked.select("history_id", F.explode(F.aggregate("entries", first, step, lambda s: s["links"])).alias("l")).select("history_id", "l.*")
+
+
+def close_questions(items: DataFrame) -> DataFrame:
+    """Merged items with answered questions superseded; merged again."""
+    links = settle(closing_links(items))
+    if links.isEmpty():
+        return items
+    changes = links.select("history_id", F.col("own").alias("id"), F.lit("resolves-protected").alias("tag"), F.col("prior").alias("target"), F.lit(False).alias("gone"))
+    closed = links.select("history_id", F.col("prior").alias("id"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("target"), F.lit(True).alias("gone"))
+    return canonicalize(_changed(items, changes.unionByName(closed)))
+
+
+def conflict_pairs(items: DataFrame) -> DataFrame:
+    """Contradicting pairs (history_id, kind, left, right, left_, right_), left earlier in the ledger.
+
+    Only items that may contradict are compared. Related ones share so many words that the
+    one with fewer shares one of its rarest; opposed ones have the same rest beside an antonym
+    or the same subject beside a database. Each of these is a key to meet by.
+    """
+    own = settle(_judged(items.where((F.col("status") == "active") & F.col("kind").isin(CONFLICT_KINDS))))
+    told = own.select("history_id", "id", F.col("j.kind").alias("kind"), F.col("j.words").alias("words"), "j")
+    words = told.select("history_id", "kind", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    rarity = words.groupBy("history_id", "kind", "word").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("history_id", "id").orderBy(F.coalesce("df", F.lit(0)), "word")
+    # Of n words n - ceil(share n) + 1 cannot all be missing; words that stand alone meet nobody and come first.
+    placed = words.join(rarity, ["history_id", "kind", "word"], "left").withColumn("place", F.row_number().over(order))
+    probe = placed.where((F.col("place") <= F.col("n") - F.ceil(F.lit(lx.RELATED) * F.col("n") - F.lit(1e-9)) + 1) & F.col("df").isNotNull())
+    a = probe.select("history_id", "kind", "word", F.col("id").alias("one"), F.col("n").alias("one_n"))
+    b = placed.where("df is not null").select("history_id", "kind", "word", F.col("id").alias("two"), F.col("n").alias("two_n"))
+    met = a.join(b, ["history_id", "kind", "word"]).where((F.col("one") != F.col("two")) & (F.col("one_n") <= F.col("two_n"))).select("history_id", "one", "two")
+    rests = F.array(
+        *[F.when(F.arrays_overlap("j.tokens", F.array(F.lit(x), F.lit(y))), F.struct(F.lit(k).alias("by"), _without(F.col("j.tokens"), x, y).alias("rest"))) for k, (x, y) in enumerate(lx.ANTONYMS)],
+        F.when(F.col("j.database").isNotNull(), F.struct(F.lit(-1).alias("by"), F.col("j.subject").alias("rest"))),
     )
-    side = lambda name: own.select("history_id", F.col("id").alias(name), F.struct(*[c for c in own.columns if c not in ("history_id", "kind", "id")]).alias(f"{name}_"))
-    pairs = met.join(side("left"), ["history_id", "left"]).join(side("right"), ["history_id", "right"])
-    x, y = F.col("left_"), F.col("right_")
+    rest = told.select("history_id", "kind", F.col("id"), F.explode(F.filter(rests, lambda r: r.isNotNull())).alias("rest"))
+    facing = rest.select("history_id", "kind", "rest", F.col("id").alias("one")).join(rest.select("history_id", "kind", "rest", F.col("id").alias("two")), ["history_id", "kind", "rest"])
+    met = met.unionByName(facing.where("one < two").select("history_id", "one", "two"))
+    met = met.select("history_id", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
+    side = lambda n: own.select("history_id", F.col("id").alias(n), F.col("j").alias(f"{n}_"))
+    pairs = met.join(side("one"), ["history_id", "one"]).join(side("two"), ["history_id", "two"])
+    turned = (F.col("one_.sequence") > F.col("two_.sequence")) | ((F.col("one_.sequence") == F.col("two_.sequence")) & (F.col("one") > F.col("two")))
+    pick = lambda x, y, n: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n)
+    pairs = pairs.select("history_id", F.col("one_.kind").alias("kind"), pick("one", "two", "left"), pick("two", "one", "right"), pick("one_", "two_", "left_"), pick("two_", "one_", "right_"))
+    return pairs.where(contradicts(F.col("left_"), F.col("right_")))
+
+
+def contradicts(x: Column, y: Column) -> Column:
+    """Related texts of different polarity or of exclusive values, or opposed ones."""
     apart = F.coalesce(x["scope"] != y["scope"], F.lit(False))
-    shared = F.size(F.array_intersect(x["words"], y["words"]))
+    shared = _shared(x, y, "words")
     related = (shared >= 1) & (shared / F.greatest(F.lit(1), F.least(F.size(x["words"]), F.size(y["words"]))) >= lx.RELATED)
+    bare = [F.array_sort(F.array_except(s["words"], F.array(*[F.lit(w) for w in lx.GENERIC_WORDS]))) for s in (x, y)]
     values = (
         (F.size(x["numbers"]) > 0) & (F.size(y["numbers"]) > 0) & ~F.arrays_overlap(x["numbers"], y["numbers"])
-        & x["exclusive"] & y["exclusive"] & (F.size(x["bare"]) > 0) & (x["bare"] == y["bare"])
+        & x["exclusive"] & y["exclusive"] & (F.size(bare[0]) > 0) & (bare[0] == bare[1])
     )
-    databases = F.coalesce((x["database"] != y["database"]) & (x["subject"] == y["subject"]), F.lit(False))
-    opposed = databases
-    for one, two in lx.ANTONYMS:
-        pair = F.array(F.lit(one), F.lit(two))
-        rest = [F.array_sort(F.array_except(s["tokens"], pair)) for s in (x, y)]
-        facing = (F.array_contains(x["tokens"], one) & F.array_contains(y["tokens"], two)) | (F.array_contains(x["tokens"], two) & F.array_contains(y["tokens"], one))
-        opposed = opposed | (facing & (F.size(rest[0]) > 0) & (rest[0] == rest[1]))
-    clash = ~apart & ((related & ((x["negated"] != y["negated"]) | values)) | opposed)
-    return pairs.where(clash)
+    return (~apart & related & ((x["negated"] != y["negated"]) | values)) | opposed(x, y)
 
 
 def mark_conflicts(items: DataFrame) -> DataFrame:
@@ -315,10 +425,7 @@ def mark_conflicts(items: DataFrame) -> DataFrame:
 
 def resolve(items: DataFrame) -> DataFrame:
     """The ledger of every history."""
-    marked = (F.col("kind") == "user_correction") & (tx.like(F.col("text"), lx.CORRECTION_MARKER) | F.array_contains("tags", "explicit-correction-label"))
-    confirms = (F.col("kind") == "confirmed_fact") & tx.like(F.col("text"), lx.CONFIRMATION)
     # Each step's table is read several times by the next.
     merged = settle(canonicalize(items))
-    corrected = settle(canonicalize(_folded(merged, marked, link_corrections)))
-    closed = settle(canonicalize(_folded(corrected, confirms, close_questions)))
-    return mark_conflicts(closed)
+    corrected = settle(link_corrections(merged))
+    return mark_conflicts(settle(close_questions(corrected)))
