@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from . import lexicon as lx
 
 SPACE = r"[\s\x1C-\x1F]"
-MARK = "\u0001"
+#: Stands around matches while a text is cut; a text that holds it or ESCAPE is written without them meanwhile.
+MARK, ESCAPE = "\u0001", "\u0002"
+ESCAPED = {ESCAPE: ESCAPE + "\u0003", MARK: ESCAPE + "\u0004"}
 
 
 def like(text: Column, pattern: str) -> Column:
@@ -60,33 +62,45 @@ def support_tokens(text: Column) -> Column:
     return tokens(text, lx.V_TOKEN, lx.V_STOPWORDS, 1)
 
 
+def _cells(text: Column, pattern: str) -> Column:
+    """What lies between matches and the matches, in turn."""
+
+    def written(x: Column) -> Column:
+        for sign, code in ESCAPED.items():
+            x = F.replace(x, F.lit(sign), F.lit(code))
+        return x
+
+    def read(x: Column) -> Column:
+        for sign, code in reversed(ESCAPED.items()):
+            x = F.replace(x, F.lit(code), F.lit(sign))
+        return x
+
+    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(ESCAPE))
+    cells = F.split(F.regexp_replace(F.when(odd, written(text)).otherwise(text), pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.when(odd, F.transform(cells, read)).otherwise(cells)
+
+
+def _every_other(cells: Column, first: int) -> Column:
+    """array<struct<start, text>> of the cells first, first + 2 ..., in one pass with a running offset."""
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+
+    def step(s: Column, cell: Column) -> Column:
+        own = F.array(F.struct(s["at"].alias("start"), cell.alias("text")))
+        return F.struct(
+            (s["at"] + F.length(cell)).alias("at"), (s["n"] + 1).alias("n"), F.when(s["n"] % 2 == first, F.concat(s["out"], own)).otherwise(s["out"]).alias("out")
+        )
+
+    return F.aggregate(cells, empty, step, lambda s: s["out"])
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, text>> of a pattern's matches from left to right."""
-    marked = F.regexp_replace(F.translate(text, MARK, " "), pattern, f"{MARK}$0{MARK}")
-    cells = F.split(marked, MARK)
-    odd = F.filter(F.sequence(F.lit(1), F.size(cells)), lambda i: i % 2 == 0)
-    return F.when(F.size(cells) < 3, F.array().cast("array<struct<start:int,text:string>>")).otherwise(
-        F.transform(
-            odd,
-            lambda i: F.struct(
-                F.length(F.array_join(F.slice(cells, F.lit(1), i - 1), "")).alias("start"), F.element_at(cells, i).alias("text")
-            ),
-        )
-    )
+    return _every_other(_cells(text, pattern), 1)
 
 
 def pieces(text: Column, separator: str) -> Column:
     """array<struct<start, text>> of what lies between a separator's matches."""
-    marked = F.regexp_replace(F.translate(text, MARK, " "), f"(?:{separator})", f"{MARK}$0{MARK}")
-    cells = F.split(marked, MARK)
-    even = F.filter(F.sequence(F.lit(1), F.size(cells)), lambda i: i % 2 == 1)
-    return F.transform(
-        even,
-        lambda i: F.struct(
-            F.when(i == 1, F.lit(0)).otherwise(F.length(F.array_join(F.slice(cells, F.lit(1), F.greatest(i - 1, F.lit(1))), ""))).alias("start"),
-            F.element_at(cells, i).alias("text"),
-        ),
-    )
+    return _every_other(_cells(text, f"(?:{separator})"), 0)
 
 
 def trimmed(piece: Column) -> Column:
@@ -98,5 +112,9 @@ def trimmed(piece: Column) -> Column:
 
 
 def hash_of(*parts: Column) -> Column:
-    """SHA-256 of the parts with a separator that no part is expected to hold."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256)
+    """SHA-256 of the parts, each behind its length in characters; a null part has the length -1.
+
+    No two different lists of parts are the same text.
+    """
+    told = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in (p.cast("string") for p in parts)]
+    return F.sha2(F.concat(*[F.coalesce(t, F.lit("-1:")) for t in told]).cast("binary"), 256)

@@ -88,17 +88,24 @@ def prf(expected: DataFrame, predicted: DataFrame, key: list[str], by: str) -> D
 
 
 def pooled(rows: DataFrame, hits: str, total: str) -> DataFrame:
-    """AG7, AG8: pooled ratio, mean of histories' ratios and their harmonic mean (0 if one is 0)."""
+    """AG7, AG8: pooled ratio and mean of histories' ratios; a ratio of nothing to nothing is 1."""
     one = F.coalesce(F.col(hits) / F.nullif(F.col(total), F.lit(0)), F.lit(1.0))
     own = rows.withColumn("_r", one)
     return own.agg(
         F.coalesce(F.sum(hits) / F.nullif(F.sum(total), F.lit(0)), F.lit(1.0)).alias("pooled"),
         F.avg("_r").alias("mean"),
-        F.when(F.min("_r") <= 0, F.lit(0.0)).otherwise(F.count("*") / F.sum(1 / F.nullif(F.col("_r"), F.lit(0.0)))).alias("harmonic"),
         F.count("*").alias("n_histories"),
     )
 
 
+def harmonic(*metrics: Column) -> Column:
+    """AG8: the harmonic mean of several metrics of one row, 0 if any is not above 0."""
+    above = F.lit(True)
+    for m in metrics:
+        above = above & (m > 0)
+    return F.when(above, F.lit(float(len(metrics))) / sum((F.lit(1.0) / m for m in metrics[1:]), F.lit(1.0) / metrics[0])).otherwise(0.0)
+
+
 def latency(rows: DataFrame, column: str) -> DataFrame:
     """AG10: mean, median and nearest-rank 95th percentile."""
     return rows.agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 
+#: Some word of every diagnostic, in lower case: a text without any holds none.
+ERROR_HINT = r"error|exception|traceback|fault|panic|fatal|fail|exit|status|expected|undefined|null|ts\d|^e"
 ATOM = "struct<start:int,text:string,kind:string,tags:array<string>,exact:boolean>"
 NONE = f"array<{ATOM}>"
 
@@ -121,6 +123,12 @@ def new_value(text: Column) -> Column:
 
 def references(text: Column) -> Column:
     """Exact references, none inside another."""
+    # All patterns need a slash, but that of tests, which needs two colons behind .py.
+    possible = F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\")) | F.contains(text, F.lit("::"))
+    return F.when(possible, _references(text)).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+
+
+def _references(text: Column) -> Column:
     found = F.concat(*[tx.matches(text, p) for p in lx.REFERENCES.values()])
     ranked = F.array_sort(
         F.array_distinct(F.transform(found, lambda m: F.struct(m["start"].alias("start"), (-F.length(m["text"])).alias("rank"), m["text"].alias("text"))))
@@ -134,7 +142,9 @@ def references(text: Column) -> Column:
 
 def errors(text: Column) -> Column:
     """Exact diagnostics, to the end of the line."""
-    return F.transform(tx.matches(text, lx.ERROR_LITERAL), lambda m: F.struct(m["start"].alias("start"), tx.rstrip(m["text"]).alias("text")))
+    found = F.transform(tx.matches(text, lx.ERROR_LITERAL), lambda m: F.struct(m["start"].alias("start"), tx.rstrip(m["text"]).alias("text")))
+    possible = F.lower(text).rlike(ERROR_HINT)
+    return F.when(possible, found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
 
 def _free_atoms(untrusted: Column | None) -> Column:

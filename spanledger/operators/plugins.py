@@ -56,7 +56,7 @@ def decode(responses: DataFrame, records: DataFrame, name: str = "model", strict
         .when(F.col("no").isNull() | F.col("content").isNull() | ~F.coalesce(inside, F.lit(False)), "span")
         .when(tx.strip(F.col("c.text")) != tx.strip(quote), "literal")
         .when(~can_author(kind, strict), "authority")
-        .when((kind == "confirmed_fact") & tx.like(quote, lx.V_UNCERTAIN), "uncertain")
+        .when((kind == "confirmed_fact") & tx.like(quote, lx.UNCERTAIN), "uncertain")
         .when(~kind.isin(lx.EXACT) & ~atomic_span(F.col("content"), F.col("s.start"), F.col("s.end"), quote), "atom")
     )
     judged = spans.withColumns({"reason": reason, "quote": quote})

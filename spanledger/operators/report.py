@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -52,12 +52,21 @@ def diff_selection(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("history_id", F.array_sort(F.array_except(two, one)).alias("gained"), F.array_sort(F.array_except(one, two)).alias("lost"))
 
 
+CONTROL = r"[\x00-\x1F\x7F-\x9F\u2028\u2029\u202A-\u202E\u2066-\u2069]"
+
+
+def visible(text: Column) -> Column:
+    """Control characters written as their code points, so that no two texts look alike."""
+    one = lambda c: F.when(c.rlike(CONTROL), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
+    return F.when(text.rlike(CONTROL), F.array_join(F.transform(F.split(F.replace(text, F.lit("\\"), F.lit("\\\\")), ""), one), "")).otherwise(F.replace(text, F.lit("\\"), F.lit("\\\\")))
+
+
 def inspect(items: DataFrame, most_items: int = 50, most_links: int = 10, most_chars: int = 200) -> DataFrame:
     """A bounded display: the first items of each history, shortened and with control characters shown."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("history_id").orderBy("sequence", "kind", "id")
-    shown = F.regexp_replace(F.regexp_replace(F.col("text"), r"\n", r"\\\\n"), r"[\x00-\x1F\x7F\x85\u2028\u2029]", r"\\\\u")
+    shown = visible(F.col("text"))
     short = F.when(F.length(shown) > most_chars, F.concat(F.left(shown, F.lit(most_chars)), F.lit("…"))).otherwise(shown)
     rows = items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_items)
     return rows.select("history_id", "place", "id", "kind", "status", short.alias("text"), F.slice("supersedes", 1, most_links).alias("supersedes"), F.slice("conflicts_with", 1, most_links).alias("conflicts_with"), F.size("provenance").alias("n_spans"))
@@ -114,7 +123,7 @@ def sections(items: DataFrame, selection: DataFrame) -> DataFrame:
         "goals": "goal", "constraints": "constraint", "corrections": "user_correction", "facts": "confirmed_fact",
         "decisions": "decision", "open_questions": "unresolved", "errors": "exact_error", "references": "exact_reference",
     }
-    picked = selection.select("history_id", F.explode("selected").alias("id")).withColumn("picked", F.lit(True))
+    picked = selection.select("history_id", F.explode("selected").alias("id")).distinct().withColumn("picked", F.lit(True))
     rows = items.join(picked, ["history_id", "id"], "left")
     live = F.col("picked").isNotNull()
     listed = lambda k: F.array_sort(F.collect_list(F.when(live & (F.col("kind") == k), F.struct("sequence", "id", "text"))))
@@ -123,13 +132,17 @@ def sections(items: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def certificate(candidates: DataFrame, kept: DataFrame, summary: DataFrame) -> DataFrame:
-    """Issued iff a history verifies and every detected protected claim is retained."""
-    found = candidates.groupBy("history_id").agg(F.count("*").alias("detected"))
-    held = kept.groupBy("history_id").agg(F.count("*").alias("retained"))
+    """Issued iff a history verifies and every detected protected claim (history_id, id) is among those kept.
+
+    lost counts the claims that are not; a kept row that is repeated or stands for no claim changes nothing.
+    """
+    found = candidates.select("history_id", "id").distinct()
+    held = kept.select("history_id", "id", F.lit(1).alias("held")).distinct()
+    told = found.join(held, ["history_id", "id"], "left").groupBy("history_id").agg(F.count("*").alias("detected"), F.count("held").alias("retained"))
     zero = F.lit(0).cast("bigint")
-    out = summary.join(found, "history_id", "left").join(held, "history_id", "left")
-    out = out.select("history_id", "passed", F.coalesce("detected", zero).alias("detected"), F.coalesce("retained", zero).alias("retained"))
-    return out.withColumn("issued", F.col("passed") & (F.col("detected") == F.col("retained")))
+    out = summary.join(told, "history_id", "left").select("history_id", "passed", F.coalesce("detected", zero).alias("detected"), F.coalesce("retained", zero).alias("retained"))
+    out = out.withColumn("lost", F.col("detected") - F.col("retained"))
+    return out.withColumn("issued", F.col("passed") & (F.col("lost") == 0))
 
 
 #: Schema versions and whether they can be read.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions import text as tx
 
 #: Roles whose words are data unless a host says otherwise.
 DATA_ROLES = ["assistant", "tool", "function"]
@@ -74,7 +75,7 @@ def defaults(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     order = Window.partitionBy("history_id").orderBy("row", "pos")
     rows = rows.withColumn("sequence", F.coalesce("seq", (F.row_number().over(order) - 1).cast("bigint")))
-    made = F.concat(F.lit("s"), F.lpad(F.col("sequence").cast("string"), 6, "0"), F.lit("-"), F.left(F.sha2(F.concat_ws("\u001f", "role", "content").cast("binary"), 256), F.lit(20)))
+    made = F.concat(F.lit("s"), F.lpad(F.col("sequence").cast("string"), 6, "0"), F.lit("-"), F.left(tx.hash_of(F.col("role"), F.col("content")), F.lit(20)))
     out = rows.select(
         "history_id", F.coalesce("id", made).alias("source_id"), "sequence", "role", "content", "timestamp", "metadata", "trusted",
         (F.lower("role").isin(DATA_ROLES) & F.coalesce(~F.col("said"), F.lit(False))).alias("untrusted"),
