@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.tables import shared_dir
+from ..functions.tables import settle, shared_dir
 from ..operators import archive, evaluate, extract, redact, report, resolve, select, verify
 from ..sources import derived
 from ..streaming import ingest
@@ -191,25 +191,44 @@ def correction_links(spark, sf_dir):
 # ---- selection, baselines ----
 
 
-@query("""
+_PACK = """
 WITH RECURSIVE t AS (
-  SELECT 'v' || conv_id AS history_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations
+  SELECT 's' || p_size AS history_id, p_partkey, p_name, length('- {"text":"' || p_name || '","status":"active","exact":false,"source_roles":["user"],"provenance":[]}') + 1 AS size,
+         row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS pos
+  FROM part
 ), walk AS (
-  SELECT history_id, pos, CASE WHEN n + 1 <= 1500 THEN n + 1 ELSE 0 END AS used, CASE WHEN n + 1 <= 1500 THEN 1 ELSE 0 END AS taken FROM t WHERE pos = 1
+  SELECT history_id, 0::BIGINT AS pos, 69::BIGINT AS chars, 0::BIGINT AS taken, 0::BIGINT AS last FROM t WHERE pos = 1
   UNION ALL
-  SELECT t.history_id, t.pos, w.used + CASE WHEN w.used + t.n + 1 <= 1500 THEN t.n + 1 ELSE 0 END, w.taken + CASE WHEN w.used + t.n + 1 <= 1500 THEN 1 ELSE 0 END
-  FROM walk w JOIN t ON t.history_id = w.history_id AND t.pos = w.pos + 1
+  SELECT t.history_id, t.pos, CASE WHEN ok THEN grown ELSE chars END, taken + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN p_partkey ELSE last END
+  FROM (SELECT w.*, t.pos AS next, t.size, t.p_partkey, chars + t.size + CASE WHEN taken = 0 THEN 10 ELSE 0 END AS grown, ceil((chars + t.size + CASE WHEN taken = 0 THEN 10 ELSE 0 END) / 4.0) <= 300 AS ok
+        FROM walk w JOIN t ON t.history_id = w.history_id AND t.pos = w.pos + 1) t(history_id, before, chars, taken, last, pos, size, p_partkey, grown, ok)
 )
-SELECT history_id, CAST(max_by(taken, pos) AS BIGINT) AS n_taken, CAST(max_by(used, pos) AS BIGINT) AS used FROM walk GROUP BY history_id
-""")
+SELECT history_id, max_by(taken, pos) AS n_selected, CAST(max_by(chars, pos) AS BIGINT) AS prompt_chars, CAST(ceil(max_by(chars, pos) / 4.0) AS BIGINT) AS prompt_tokens, CAST(max_by(last, pos) AS BIGINT) AS last_taken
+FROM walk GROUP BY history_id
+"""
+
+
+def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a size as one history of optional items, one for each part."""
+    none, strings = F.array(), "array<string>"
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("history_id"), F.col("p_partkey").cast("string").alias("id"), F.lit("progress").alias("kind"), F.col("p_name").alias("text"),
+        F.lit("active").alias("status"), F.lit(45).alias("priority"), F.lit(1.0).alias("confidence"), F.lit(False).alias("exact"), none.cast(strings).alias("tags"), none.cast(strings).alias("supersedes"),
+        none.cast(strings).alias("conflicts_with"), none.cast("array<struct<source_id:string,start:int,end:int,quote:string>>").alias("provenance"), F.col("p_partkey").alias("sequence"),
+        F.array(F.lit("user")).alias("roles"), F.array(F.lit("own")).alias("extractors"),
+    )
+
+
+def packed(items: DataFrame) -> DataFrame:
+    wide = items.groupBy("history_id").agg(F.lit(1_000_000).cast("bigint").alias("n_chars"))
+    return select.select(items, wide, select.Policy(token_budget=300, minimum_ratio=1.0))
+
+
+@query(_PACK)
 def budget_pack(spark, sf_dir):
-    """Greedy first fit with skipping, turn by turn."""
-    rows = derived.conversations(spark, sf_dir)
-    ordered = rows.groupBy("history_id").agg(F.array_sort(F.collect_list(F.struct("sequence", (F.length("content") + 1).alias("size")))).alias("es"))
-    first = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("used"))
-    step = lambda s, e: F.when(s["used"] + e["size"] <= 1500, F.struct((s["taken"] + 1).alias("taken"), (s["used"] + e["size"]).alias("used"))).otherwise(s)
-    out = ordered.select("history_id", F.aggregate("es", first, step).alias("c"))
-    return out.select("history_id", F.col("c.taken").cast("bigint").alias("n_taken"), F.col("c.used").cast("bigint").alias("used"))
+    """Greedy first fit with skipping by the selection operator, item by item."""
+    out = packed(named_items(spark, sf_dir))
+    return out.select("history_id", F.size("selected").cast("bigint").alias("n_selected"), "prompt_chars", "prompt_tokens", F.get("selected", F.size("selected") - 1).cast("bigint").alias("last_taken"))
 
 
 _CUT = """
@@ -272,7 +291,7 @@ def verified_corruptions(spark, sf_dir):
 @query(f"SELECT source_id, text FROM ({derived.EXPECTED}) e WHERE kind IN ('goal', 'constraint', 'unresolved', 'exact_error', 'exact_reference') AND CAST(substr(source_id, 2) AS BIGINT) % 3 = 0")
 def missing_obligations(spark, sf_dir):
     """Protected claims that a thinned ledger lacks."""
-    items = order_items(spark, sf_dir)
+    items = settle(order_items(spark, sf_dir))
     source = F.get("provenance", F.lit(0))["source_id"]
     kept = items.where(F.substring(source, 2, 20).cast("bigint") % 3 != 0)
     wanted = items.where(F.col("kind").isin(lx.PROTECTED))
@@ -322,7 +341,7 @@ def redact_texts(spark, sf_dir):
 
 # ---- archive ----
 
-_REC = "sha256(source_id || chr(31) || CAST(sequence AS VARCHAR) || chr(31) || role || chr(31) || content || chr(31) || '' || chr(31) || '{}')"
+_REC = "sha256(" + " || ".join(f"coalesce(length({x}) || ':' || {x}, '-1:')" for x in ("source_id", "CAST(sequence AS VARCHAR)", "role", "content")) + " || '-1:' || '2:{}')"
 
 
 @query(f"""
@@ -465,7 +484,7 @@ def latency_summary(spark, sf_dir):
     return evaluate.latency(rows, "value")
 
 
-@query()
+@query("SELECT event_type AS content, count(*) AS n FROM events GROUP BY event_type")
 def stream_ingest(spark, sf_dir):
     """ST1: events as records in a stream, redelivered once."""
     run = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
@@ -481,8 +500,12 @@ def stream_ingest(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import checked  # noqa: F401  registers more of them
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import checked  # noqa: F401
+
     return dict(SQL)
