@@ -117,6 +117,89 @@ def test_resolution_R1_to_R10(compiled):
     assert merged.status == "active" and len(merged.provenance) == 2
 
 
+CASES = {
+    "chain": ["fact: lane four holds boxes", "correction: lane four holds crates instead of boxes", "correction: lane four holds barrels instead of crates"],
+    "own": ["constraint: the queue limit must be 10", "Actually, the queue limit must be 20 instead", "Actually, the queue limit must be 30 instead"],
+    "two": ["decision: use red paint for doors", "decision: use blue paint for doors", "correction: use green paint for doors instead"],
+    "other": ["decision: use red paint for doors", "correction: something else entirely"],
+    "adds": ["decision: use red paint for doors", "correction: also the red paint for doors dries"],
+    "double": ["constraint: doors must be red so they shall dry", "correction: doors are blue instead of red"],
+    "revoked": ["goal: keep the audit log", "Ignore my earlier audit log requirement"],
+    "database": ["fact: the database is Postgres", "correction: the db engine is MySQL"],
+    "scopes": ["fact: the staging database is Postgres", "correction: the production database is MySQL"],
+    "clash": ["fact: the db is Postgres", "fact: the database is MySQL", "fact: previews enabled", "fact: previews disabled", "fact: lane 4 of hall 12 stays open", "fact: lane 4 of hall 12 is not open"],
+    "asked": ["Is the leak in pump seven known?", "fact: the leak in pump seven is confirmed", "fact: the pump seven leak was verified again"],
+    "asked twice": ["Is the leak in pump seven known?", "Is the leak of pump seven bad?", "fact: the leak of pump seven is confirmed"],
+}
+
+
+@pytest.fixture(scope="module")
+def ledgers(spark):
+    rows = [(name, f"s{i}", i, "user", text, False, False) for name, texts in CASES.items() for i, text in enumerate(texts)]
+    out = {name: {} for name in CASES}
+    for x in resolve.resolve(extract.extract(spark.createDataFrame(rows, RECORD))).collect():
+        out[x.history_id][x.kind, x.text] = x
+    return out
+
+
+def test_corrections_in_a_chain_replace_each_other_R5_R6(ledgers):
+    got = ledgers["chain"]
+    first, second = (x.split(": ")[1] for x in CASES["chain"][1:])
+    old, made, now = got["confirmed_fact", "lane four holds boxes"], got["confirmed_fact", first], got["confirmed_fact", second]
+    assert [x.status for x in (old, made, now)] == ["superseded", "superseded", "active"]
+    assert made.supersedes == got["user_correction", first].supersedes == [old.id]
+    assert now.supersedes == got["user_correction", second].supersedes == [made.id]
+    assert {"correction-derived", "current-value"} <= set(now.tags) and now.confidence == 0.95 and now.priority == 100
+    assert "superseded-by-correction" in old.tags and "superseded-by-correction" in made.tags
+
+
+def test_corrections_with_an_item_of_their_own_R5(ledgers):
+    got = ledgers["own"]
+    rows = [got["constraint", x] for x in ("the queue limit must be 10", *CASES["own"][1:])]
+    assert [x.status for x in rows] == ["superseded", "superseded", "active"]
+    assert [x.supersedes for x in rows] == [[], [rows[0].id], [rows[1].id]] and len(got) == 5
+
+
+def test_corrections_that_replace_nothing_R3_R4(ledgers):
+    assert "ambiguous-supersession" in ledgers["two"]["user_correction", "use green paint for doors instead"].tags
+    for name in ("other", "adds"):
+        own = ledgers[name]["user_correction", CASES[name][1].split(": ")[1]]
+        assert "additive-clarification" in own.tags and own.supersedes == [] and len(ledgers[name]) == 2
+    assert {x.status for name in ("two", "double", "scopes") for x in ledgers[name].values()} == {"active"}
+
+
+def test_revocations_leave_no_replacement_R5(ledgers):
+    got = ledgers["revoked"]
+    assert got["goal", "keep the audit log"].status == "superseded"
+    assert not any("correction-derived" in x.tags and x.status == "active" for x in got.values())
+
+
+def test_a_database_or_an_antonym_is_enough_R8(ledgers):
+    assert ledgers["database"]["confirmed_fact", "the database is Postgres"].status == "superseded"
+    assert sum(x.status == "conflicting" for x in ledgers["clash"].values()) == 6
+
+
+def test_questions_close_once_R7(ledgers):
+    got = ledgers["asked"]
+    asked = got["unresolved", CASES["asked"][0]]
+    closers = [x for x in got.values() if x.supersedes]
+    assert asked.status == "superseded" and [x.supersedes for x in closers] == [[asked.id]] and closers[0].sequence == 1
+    assert {x.status for x in ledgers["asked twice"].values()} == {"active"}
+
+
+def test_conflicts_equal_all_pairs_compared_J5(spark):
+    r = random.Random(9)
+    words = ["valve", "pump", "lane", "seal", "gauge", "door"]
+    texts = sorted({f"fact: {' '.join(r.sample(words, r.randint(1, 4)))} {r.choice(['is', 'is not', 'set to 5', 'set to 6', 'exactly 7', 'enabled', 'disabled'])}" for _ in range(60)})
+    items = resolve.canonicalize(extract.extract(records(spark, *[("user", t) for t in texts])))
+    own = resolve._judged(items.where(F.col("kind").isin(resolve.CONFLICT_KINDS)))
+    a, b = own.select(F.col("id").alias("x"), F.col("j").alias("xj")), own.select(F.col("id").alias("y"), F.col("j").alias("yj"))
+    every = a.join(b, (F.col("xj.kind") == F.col("yj.kind")) & (F.col("x") < F.col("y"))).where(resolve.contradicts(F.col("xj"), F.col("yj")))
+    want = {(p.x, p.y) for p in every.select("x", "y").collect()}
+    got = [tuple(sorted((p.left, p.right))) for p in resolve.conflict_pairs(items).collect()]
+    assert len(want) > 20 and set(got) == want and len(got) == len(want)
+
+
 def test_selection_and_rendering_B1_to_B6_K2(compiled):
     chosen = {x.history_id: x for x in compiled.selection.collect()}
     prompts = {x.history_id: x.prompt for x in compiled.prompts(allow_unverified=True).collect()}
