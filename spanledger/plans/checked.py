@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.tables import settle, shared_dir
-from ..operators import archive, evaluate, extract, plugins, redact, report, resolve, select
+from ..operators import archive, artifact, evaluate, extract, plugins, redact, report, resolve, select
 from ..sources import derived
 from ..sources import records as source
 from . import faults
 from .compile import recover, source_chars
-from .queries import named_items, query, table
+from .queries import named_items, packed, query, table
 
 K = faults.K
 
@@ -433,3 +433,45 @@ def prompt_items(spark, sf_dir):
     return chosen.where("n_selected > 0")
 
 
+
+
+# ---- artifacts ----
+
+
+def _artifacts(spark, sf_dir):
+    """Named items as artifacts: items, records, artifacts of whole and of active ledgers."""
+    items = settle(named_items(spark, sf_dir))
+    rows = items.select("history_id", F.col("id").alias("source_id"), "sequence", F.lit("user").alias("role"), F.col("text").alias("content"))
+    chosen, summary = packed(items), items.select("history_id").distinct().withColumn("passed", F.lit(True))
+    whole, active = (artifact.build(items, chosen, summary, rows, active_only=a) for a in (False, True))
+    return items, rows, whole, active
+
+
+@query("SELECT 's' || p_size AS history_id, CAST(p_partkey AS VARCHAR) AS id, p_name AS text, p_partkey AS sequence FROM part")
+def artifact_items(spark, sf_dir):
+    """Items written into artifacts and read back."""
+    _, _, whole, _ = _artifacts(spark, sf_dir)
+    return artifact.items_of(artifact.load(whole)).select("history_id", "id", "text", "sequence")
+
+
+@query("""
+SELECT 's' || p_size AS history_id, code FROM (SELECT DISTINCT p_size FROM part) s, (VALUES (1, 'invalid_artifact_json'), (2, 'unsupported_schema_version'), (2, 'artifact_digest_mismatch'),
+  (3, 'artifact_digest_mismatch'), (4, 'incomplete_ledger'), (5, 'source_digest_mismatch'), (5, 'source_count_mismatch'), (6, 'invalid_artifact_json'), (7, 'invalid_artifact_json')) v(fault, code) WHERE p_size % 8 = fault
+""")
+def artifact_checks(spark, sf_dir):
+    """Artifacts cut off, of another version, altered, active only, of other records, with unknown or repeated fields."""
+    _, rows, whole, active = _artifacts(spark, sf_dir)
+    n = F.substring("history_id", 2, 20).cast("int") % 8
+    text = F.col("artifact")
+    bent = (
+        F.when(n == 1, F.expr("left(artifact, length(artifact) - 9)"))
+        .when(n == 2, F.replace(text, F.lit('"schema_version":"1.0"'), F.lit('"schema_version":"9.9"')))
+        .when(n == 3, F.replace(text, F.lit('"status":"active"'), F.lit('"status":"discarded"')))
+        .when(n == 6, F.replace(text, F.lit('{"schema_version"'), F.lit('{"own":1,"schema_version"')))
+        .when(n == 7, F.replace(text, F.lit('{"schema_version"'), F.lit('{"passed":true,"schema_version"')))
+        .otherwise(text)
+    )
+    given = whole.where(n != 4).unionByName(active.where(n == 4)).withColumn("artifact", bent)
+    first = rows.groupBy("history_id").agg(F.min("sequence").alias("first"))
+    kept = rows.join(first, "history_id").where((n != 5) | (F.col("sequence") > F.col("first"))).drop("first")
+    return artifact.issues(artifact.load(given), kept)
