@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from . import lexicon as lx
 
 SPACE = r"[\s\x1C-\x1F]"
-#: Stands around matches while a text is cut; a text that holds it or ESCAPE is written without them meanwhile.
-MARK, ESCAPE = "\u0001", "\u0002"
-ESCAPED = {ESCAPE: ESCAPE + "\u0003", MARK: ESCAPE + "\u0004"}
+#: Stands around matches while a text is cut; for a text that holds it, the first of MARKS that it does not hold.
+MARK = "\u0001"
+MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
 def like(text: Column, pattern: str) -> Column:
@@ -63,21 +63,12 @@ def support_tokens(text: Column) -> Column:
 
 
 def _cells(text: Column, pattern: str) -> Column:
-    """What lies between matches and the matches, in turn."""
-
-    def written(x: Column) -> Column:
-        for sign, code in ESCAPED.items():
-            x = F.replace(x, F.lit(sign), F.lit(code))
-        return x
-
-    def read(x: Column) -> Column:
-        for sign, code in reversed(ESCAPED.items()):
-            x = F.replace(x, F.lit(code), F.lit(sign))
-        return x
-
-    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(ESCAPE))
-    cells = F.split(F.regexp_replace(F.when(odd, written(text)).otherwise(text), pattern, f"{MARK}$0{MARK}"), MARK)
-    return F.when(odd, F.transform(cells, read)).otherwise(cells)
+    """What lies between matches and the matches, in turn. A text with every one of MARKS, which are no characters, fails."""
+    free = F.get(F.filter(F.array(*[F.lit(m) for m in MARKS]), lambda m: ~F.contains(text, m)), F.lit(0))
+    other = F.coalesce(free, F.raise_error(F.lit("a text holds every mark")).cast("string"))
+    plain = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    odd = F.split(F.regexp_replace(text, F.lit(pattern), F.concat(other, F.lit("$0"), other)), other)
+    return F.when(F.contains(text, F.lit(MARK)), odd).otherwise(plain)
 
 
 def _every_other(cells: Column, first: int) -> Column:

@@ -1,4 +1,4 @@
-"""Hash-chained archive of records: append, chain, verify, resolve."""
+"""Hash-chained archive of records: append, chain, verify, resolve."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evaluation: baselines, span matching, precision and recall, paired bootstrap, splits (E1-E9, AG8-AG14, J13-J16, U4, U5, W11-W12)."""
+"""Evaluation: baselines, span matching, precision and recall, paired bootstrap, splits (E2, parts of E3, E7, E9 and E10, AG7-AG15, J13-J16, K8, U4, U5, W11, W12)."""
 
 from __future__ import annotations
 

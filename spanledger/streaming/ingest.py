@@ -1,4 +1,4 @@
-"""Incremental ingestion as a stream (ST1-ST6).
+"""Incremental ingestion as a stream (ST1, ST2, parts of ST3 and ST6).
 
 Records may arrive late and out of order within their history, so nothing expires and a
 touched history is compiled again from its records. Redelivered records change nothing; a

@@ -357,3 +357,37 @@ def test_model_responses_G15_G17(spark):
     assert {(x.history_id, x.place): x.reason for x in rejected.collect()} == {("h", k + 1): r for k, r in enumerate(reasons)} | {("g", -1): "response"}
     whole, counts = plugins.composite(model=items, rules=extract.extract(df))
     assert {x.name: x.n_items for x in counts.collect()} == {"model": 1, "rules": whole.count() - 1}
+
+
+def test_texts_with_any_sign_are_matched_as_they_are_G9(spark):
+    texts = ["a\u0001b\u0002a", "\u0002a\u0001", "\u0001\u0001", "x a\u0002\u0003 a\u0001", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.matches(F.col("t"), "a.?").alias("m"), tx.pieces(F.col("t"), "a").alias("p")).collect()
+    for x in rows:
+        assert [(m.start, m.text) for m in x.m] == [(m.start(), m[0]) for m in re.finditer("a.?", x.t)]
+        assert [p.text for p in x.p] == x.t.split("a")
+
+
+def test_no_text_can_move_between_the_parts_of_a_digest(spark):
+    rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", None), ("a", ""), ("1:a", "bc")], "x string, y string")
+    assert rows.select(tx.hash_of(F.col("x"), F.col("y"))).distinct().count() == 5
+
+
+def test_control_characters_stay_apart_W10(spark):
+    texts = ["a\u0001", "a\u0002", "a\\u0001", "a\n", "a "]
+    shown = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(report.visible(F.col("t"))).collect()]
+    assert shown == ["a\\u0001", "a\\u0002", "a\\\\u0001", "a\\u000a", "a\\u2028"]
+
+
+def test_artifacts_are_read_strictly_K1_S9(spark):
+    from spanledger.operators import artifact
+
+    rows = records(spark, ("user", "goal: fix the login"))
+    items = extract.extract(rows)
+    chosen = items.groupBy("history_id").agg(F.collect_list("id").alias("selected"))
+    made = artifact.build(items, chosen, items.select("history_id").distinct().withColumn("passed", F.lit(True)), rows)
+    assert artifact.issues(artifact.load(made), rows).collect() == []
+    assert [x.text for x in artifact.items_of(artifact.load(made)).collect()] == ["fix the login"]
+    text = made.first().artifact
+    for bent, codes in ((text[:-1], {"invalid_artifact_json"}), (text.replace("fix the login", "fix the logon", 1), {"artifact_digest_mismatch"}), ("null", {"invalid_artifact_json"}), (None, {"invalid_artifact_json"})):
+        given = spark.createDataFrame([("h", bent)], "history_id string, artifact string")
+        assert {x.code for x in artifact.issues(artifact.load(given), rows).collect()} == codes
