@@ -1,9 +1,9 @@
-"""Operator 4: removal of repeated byte strings by distributed prefix doubling.
+"""Operator 4: removal of repeated byte strings by anchors and hashes of windows, in place of distributed prefix doubling.
 
 A byte goes if it lies in a string of LENGTH bytes that also starts earlier in the corpus. To
 know this, every position must be ranked by the LENGTH bytes from it. Doubling ranks all
 positions by short strings first, sorts the pairs of ranks at growing offsets and ranks
-anew, until a position is unique or the pairs reach LENGTH. Here:
+anew, until a position is unique or the pairs reach LENGTH. Here no ranks are doubled by Spark:
 
 1. Of every LENGTH-byte window the anchor is the BASE-byte string in it with the smallest
    hash; equal windows have equal anchors at equal places. Spark sorts the anchors by rank
