@@ -25,7 +25,7 @@ settled from each partition's first and last rank.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,9 @@ LENGTH, BASE = 100, 24
 #: Reach of the doubled rank right of an anchor's start; the rest of LENGTH lies left of it.
 REACH = 62
 #: Bytes worked on at once, and first contexts of an anchor that are compared in memory.
-PIECE, HELD = 1 << 20, 100_000
+PIECE, HELD = 1 << 18, 100_000
+#: Bytes of texts whose rows give the edges of range partitions, and rows of them for each partition.
+SAMPLE, EDGE_ROWS = 1 << 25, 200
 NO_ID = -(1 << 63)
 # Any odd multipliers do.
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
@@ -298,21 +300,62 @@ def merged(runs: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(low[apart].tolist(), high[np.append(apart[1:], len(runs)) - 1].tolist(), strict=True))
 
 
+def below(edges: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many of the sorted edges are at or below each row; rows and edges are compared column by column."""
+    low, high = (np.searchsorted(edges[:, 0], rows[:, 0], side) for side in ("left", "right"))
+    for k in range(1, edges.shape[1]):
+        tied = np.flatnonzero(low != high)  # alike with an edge so far
+        begin = low[tied]
+        for at in np.unique(begin).tolist():
+            own = tied[begin == at]
+            own_edges = edges[at : high[own[0]], k]
+            low[own], high[own] = (at + np.searchsorted(own_edges, rows[own, k], side) for side in ("left", "right"))
+    return high
+
+
+def ranged(rows: DataFrame, texts: int, mapper: Callable, schema: str, order: list[str], parts: int) -> DataFrame:
+    """The rows that mapper makes of rows with a doc_id and a text, sorted within range partitions by ``order``.
+
+    ``repartitionByRange`` would run the mapper twice, first for a sample of its rows. Here
+    the edges come from the rows of about SAMPLE of the ``texts`` bytes, taken by a hash of
+    the id; they decide how even the partitions are and nothing else. Where they are too few
+    (all texts are long), the first column, a hash, is cut evenly.
+    """
+    share = min(1.0, SAMPLE / max(texts, 1))
+    every = max(1, int(min(texts, SAMPLE) / 20 / (EDGE_ROWS * parts)))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("edges")), F.lit(1 << 20))
+    few = rows.where((place < F.lit(int(share * (1 << 20)))) & (F.octet_length("text") <= PIECE)).mapInPandas(mapper, schema)
+    few = few.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).collect()
+    if len(few) >= parts:
+        few = sorted(tuple(r) for r in few)
+        edges = np.array([few[len(few) * k // parts] for k in range(1, parts)], np.int64).reshape(-1, len(order))
+    else:
+        edges = np.zeros((parts - 1, len(order)), np.int64)
+        edges[:, 0] = [-(1 << 63) + (k << 64) // parts for k in range(1, parts)]
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in mapper(batches):
+            out["part"] = below(edges, out[order].to_numpy(np.int64)).astype(np.int32)
+            yield out
+
+    found = rows.mapInPandas(placed, f"{schema}, part int")
+    return found.repartitionById(parts, "part").drop("part").sortWithinPartitions(*order)
+
+
 def removed_runs(docs: DataFrame) -> DataFrame:
     """(doc, start, n): windows that were seen earlier, as runs; docs has unique doc_id and text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = fresh_dir(spark, "suffix")
-    order = ["rank", "context", "doc", "place"]
-    anchors = docs.select("doc_id", "text").mapInPandas(_anchors, "rank long, context long, doc long, place long")
-    ranked = anchors.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    schema = "rank long, context long, doc long, place long"
+    ranked = ranged(docs.select("doc_id", "text"), texts, _anchors, schema, ["rank", "context", "doc", "place"], parts)
     ranked.mapInPandas(_kept, "doc long, start long, n int, rank long, seen boolean").write.parquet(f"{folder}/anchors")
     ranked = spark.read.parquet(f"{folder}/anchors")
     open_ = ranked.where("not seen").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "rank")).alias("runs"))
     open_ = open_.select("doc_id", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"), F.col("runs.rank").alias("ranks"))
-    windows = docs.join(open_, "doc_id").select("doc_id", "text", "starts", "counts", "ranks").mapInPandas(_windows, "rank long, whole long, doc long, start long")
-    order = ["rank", "whole", "doc", "start"]
-    later = windows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    windows = docs.join(open_, "doc_id").select("doc_id", "text", "starts", "counts", "ranks")
+    later = ranged(windows, texts, _windows, "rank long, whole long, doc long, start long", ["rank", "whole", "doc", "start"], parts)
     later.mapInPandas(_later, "kind int, part int, rank long, whole long, doc long, start long").write.parquet(f"{folder}/windows")
     later = spark.read.parquet(f"{folder}/windows")
     # Two rows of each partition: a first window is seen if the partition before ends with its rank.

@@ -256,6 +256,15 @@ def brute_suffix(docs):
     return out
 
 
+def test_rows_are_placed_between_edges_column_by_column():
+    r = np.random.default_rng(4)
+    rows = r.integers(0, 3, (400, 4))
+    edges = np.array(sorted(map(tuple, r.integers(0, 3, (30, 4)))))
+    got = suffix_dedup.below(edges, rows)
+    assert got.tolist() == [sum(tuple(e) <= tuple(row) for e in edges) for row in rows]
+    assert suffix_dedup.below(np.zeros((0, 4), np.int64), rows).tolist() == [0] * 400
+
+
 @pytest.mark.parametrize("piece", [1 << 20, 300])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, piece):
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
