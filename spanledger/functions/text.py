@@ -109,3 +109,40 @@ def hash_of(*parts: Column) -> Column:
     """
     told = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in (p.cast("string") for p in parts)]
     return F.sha2(F.concat(*[F.coalesce(t, F.lit("-1:")) for t in told]).cast("binary"), 256)
+
+
+_QUOTED = r'"(?:[^"\\]|\\.)*+"'
+
+
+def json_depth(text: Column) -> Column:
+    """How deep arrays and objects are nested in a JSON text; brackets within strings do not count."""
+    marks = F.split(F.regexp_replace(F.regexp_replace(text, F.lit(_QUOTED), F.lit("")), r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda s: s["most"])
+
+
+def has_long_integer(text: Column, digits: int = 640) -> Column:
+    """Whether a JSON text holds an integer of more digits, outside of strings."""
+    return like(F.regexp_replace(text, F.lit(_QUOTED), F.lit("")), rf"(?<![\d.eE+])\d{{{digits + 1},}}(?![\d.eE])")
+
+
+def is_utc_time(text: Column) -> Column:
+    """Whether a text is an RFC 3339 time in UTC, of a day that there is; such texts of one length sort as times do."""
+    shape = like(text, r"\A\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?(Z|\+00:00)\z")
+    return shape & F.try_to_timestamp(F.left(text, F.lit(10)), F.lit("yyyy-MM-dd")).isNotNull()
+
+
+def key_faults(given: Column, required: list[str], optional: tuple[str, ...] = ()) -> Column:
+    """Keys of a map that are missing or unknown, as missing:key and unknown:key in order."""
+    want, may = (F.array(*[F.lit(k) for k in ks]).cast("array<string>") for ks in (required, [*required, *optional]))
+    told = lambda keys, word: F.transform(F.array_sort(keys), lambda k: F.concat(F.lit(f"{word}:"), k))
+    return F.concat(told(F.array_except(want, F.map_keys(given)), "missing"), told(F.array_except(F.map_keys(given), may), "unknown"))
+
+
+def without_keys(given: Column, keys: list[str]) -> Column:
+    return F.map_filter(given, lambda k, _: ~k.isin(keys))

@@ -1,4 +1,4 @@
-"""Hash-chained archive of records: append, chain, verify, resolve."""
+"""Hash-chained archive of records: append, chain, verify, resolve, upgrade."""
 
 from __future__ import annotations
 
@@ -16,10 +16,13 @@ def record_hash(columns: list[str]) -> Column:
     return tx.hash_of(*[F.col(c) for c in RECORD if c in columns])
 
 
-def append(archive: DataFrame, incoming: DataFrame) -> DataFrame:
+def append(archive: DataFrame, incoming: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """A1: rows of incoming that are new. Redelivered rows are left out; a row that takes an id or a
-    sequence that is taken by a different record fails the job.
+    sequence that is taken by a different record fails the job. With expected heads (history_id,
+    head) the archive must end as the caller believes, else nothing is appended.
     """
+    if expected is not None and (moved := verify_heads(archive, expected).take(10)):
+        raise ValueError("unexpected head in " + ", ".join(r["history_id"] for r in moved))
     held = archive.select("history_id", "source_id", "sequence", record_hash(archive.columns).alias("held"))
     rows = incoming.withColumn("_own", record_hash(incoming.columns)).dropDuplicates(["history_id", "_own"])
     within = rows.groupBy("history_id", "source_id").agg(F.count("*").alias("n")).where("n > 1").select("history_id", F.lit("id").alias("by"))
@@ -91,3 +94,18 @@ def resolve_spans(spans: DataFrame, archive: DataFrame) -> DataFrame:
     own = archive.select("history_id", "source_id", "content")
     inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("content"))
     return spans.join(own, ["history_id", "source_id"], "left").withColumn("quote", F.when(inside, F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")))).drop("content")
+
+
+def upgrade(table: DataFrame) -> DataFrame:
+    """A3: an archive table whose legacy histories, without any position, previous or entry, are chained; chained ones stay as they are.
+
+    A history that is chained in part fails the job.
+    """
+    links = ["position", "previous", "entry"]
+    bare = F.coalesce(*[F.col(c).cast("string") for c in links]).isNull()
+    kinds = table.groupBy("history_id").agg(F.every(bare).alias("legacy"), F.every(~bare).alias("chained"))
+    mixed = F.raise_error(F.concat(F.lit("chained in part: "), "history_id")).cast("boolean")
+    kinds = kinds.select("history_id", F.when(F.col("legacy") | F.col("chained"), F.col("legacy")).otherwise(mixed).alias("legacy"))
+    rows = table.join(kinds, "history_id")
+    old = rows.where("legacy").drop("legacy", *links)
+    return rows.where("not legacy").drop("legacy").unionByName(archived(old).select(*table.columns))

@@ -1,4 +1,4 @@
-"""Evaluation: baselines, span matching, precision and recall, paired bootstrap, splits (E2, parts of E3, E7, E9 and E10, AG7-AG15, J13-J16, K8, U4, U5, W11, W12)."""
+"""Evaluation: baselines, span matching, precision and recall, paired bootstrap, splits (E2, E1, E4-E6, parts of E3, E7, E9 and E10, AG7-AG15, J13-J16, K8, U4, U5, W11, W12)."""
 
 from __future__ import annotations
 
@@ -173,3 +173,72 @@ def supported(text: Column, quote: Column) -> Column:
     claim, said = tx.support_tokens(text), tx.support_tokens(quote)
     reached = F.aggregate(said, F.lit(0), lambda at, t: at + F.when(F.get(claim, at) == t, 1).otherwise(0))
     return (reached == F.size(claim)) & (tx.like(text, lx.V_NEGATION) == tx.like(quote, lx.V_NEGATION))
+
+
+def tight() -> Column:
+    """Whether every span of a claim (kind, text, provenance) says the claim and no more; a conflict's spans lie within its text."""
+    claim = tx.normal(F.col("text"))
+    between = (F.col("kind") == "unresolved") & F.startswith("text", F.lit("Unresolved source conflict:"))
+
+    def says(p: Column) -> Column:
+        quote = tx.normal(p["quote"])
+        return F.coalesce((quote == claim) | (between & (quote != "") & F.contains(claim, quote)), F.lit(False))
+
+    return (F.coalesce(F.size("provenance"), F.lit(0)) > 0) & F.forall("provenance", says)
+
+
+def rendered_contains(rendered: Column, text: Column) -> Column:
+    """Whether a prompt states a text; one that stands within 40 characters behind a negation and has none itself is not stated."""
+    from ..functions import lexicon as lx
+
+    hay, needle = tx.normal(rendered), tx.normal(text)
+    at = F.instr(hay, needle)
+    first = F.greatest(at - 40, F.lit(1))
+    before = F.substring(hay, first, at - first)
+    return (at > 0) & (tx.like(needle, lx.V_NEGATION) | ~tx.like(before, lx.V_NEGATION))
+
+
+def authority_violations(claims: DataFrame, records: DataFrame, negatives: DataFrame, gated: list[str], trusted: list[str]) -> DataFrame:
+    """(history_id, id) of claims that overlap a span that may state nothing, and of gated kinds that rest on an untrusted role or on no record."""
+    spans = claims.select("history_id", "id", "kind", F.explode_outer("provenance").alias("p")).select("history_id", "id", "kind", F.col("p.source_id").alias("source_id"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+    hit = overlaps(spans.where("source_id is not null"), negatives).select("history_id", F.col("l_id").alias("id"))
+    known = spans.where(F.col("kind").isin(gated)).join(records.select("history_id", "source_id", "role"), ["history_id", "source_id"], "left")
+    roles = known.groupBy("history_id", "id").agg(F.count("role").alias("n"), F.count_if(~F.lower("role").isin(trusted)).alias("odd"))
+    return hit.unionByName(roles.where("n = 0 or odd > 0").select("history_id", "id")).distinct()
+
+
+def history_metrics(gold: DataFrame, claims: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Per history of gold atoms (with exact, whether their words must stay): atoms, hits, exact ones, hits stated in the prompt, claims and tight claims, with recall and precision.
+
+    Ratios of nothing are 1. A history without claims or a prompt counts with none.
+    """
+    hits = atom_matches(gold, claims).join(prompts.select("history_id", "prompt"), "history_id", "left")
+    told = F.coalesce(rendered_contains(F.col("prompt"), F.col("text")), F.lit(False))
+    own = hits.groupBy("history_id").agg(
+        F.count("*").alias("atoms"), F.count_if("hit").alias("hits"), F.count_if("exact").alias("exact_atoms"), F.count_if(F.col("exact") & F.col("hit")).alias("exact_hits"), F.count_if(told).alias("rendered")
+    )
+    made = claims.groupBy("history_id").agg(F.count("*").alias("claims"), F.count_if(tight()).alias("tight"))
+    out = own.join(made, "history_id", "left").fillna(0, ["claims", "tight"])
+    ratio = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.col(a) / F.col(b))
+    return out.withColumns({"recall": ratio("hits", "atoms"), "exact_recall": ratio("exact_hits", "exact_atoms"), "precision": F.when(F.col("claims") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("hits") / F.col("claims"))), "tight_share": ratio("tight", "claims")})
+
+
+def compare_systems(cases: DataFrame, margin: float = 0.0) -> DataFrame:
+    """E5: wins, ties, losses and invalid cases of system a against b, per group.
+
+    cases has group, a, b and valid. A case that is not valid, or has no number, is invalid
+    and never a win; ahead is true where more than half of all cases are wins.
+    """
+    usable = F.col("valid") & F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b")
+    apart = F.col("a") - F.col("b")
+    outcome = F.when(~F.coalesce(usable, F.lit(False)), "invalid").when(apart > margin, "win").when(apart < -margin, "loss").otherwise("tie")
+    rows = cases.select("group", outcome.alias("outcome"))
+    out = rows.groupBy("group").agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("win", "wins"), ("tie", "ties"), ("loss", "losses"), ("invalid", "invalid"))])
+    total = F.col("wins") + F.col("ties") + F.col("losses") + F.col("invalid")
+    return out.withColumn("ahead", F.col("wins") * 2 > total)
+
+
+def gates(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Which gates each row fails, in the order of rules, and whether it is certified; a gate that cannot be decided fails."""
+    failed = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda n: n.isNotNull())
+    return rows.select(*key, failed.alias("failed")).withColumn("certified", F.size("failed") == 0)

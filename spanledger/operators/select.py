@@ -55,16 +55,8 @@ def eligible(items: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows
 
 
-def select(items: DataFrame, source_chars: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One row per history: what is chosen, in order, and the account of tokens.
-
-    source_chars has history_id and n_chars, the length of all contents with a line feed
-    between. Protected items are always chosen. Optional ones follow greedily by priority,
-    confidence, recency and cost, each if the whole prompt still fits; one that does not fit
-    is skipped. The prompt's length is additive, so the fold keeps a sum: the envelope, a line
-    per item, and a heading for each kind at its first item. A history without items chooses
-    nothing.
-    """
+def ordered_entries(items: DataFrame, policy: Policy = Policy(), lines: bool = False) -> DataFrame:
+    """history_id and entries: eligible items in the order in which they are chosen, protected ones first; with their lines if asked."""
     rows = eligible(items, policy).withColumn("line", prompt_line(items)).withColumn("size", F.length("line") + 1)
     guard = protected(F.col("kind"), F.col("tags"))
     cost = tokens_of(F.length("kind") + F.length("line") + 3, policy)
@@ -80,8 +72,22 @@ def select(items: DataFrame, source_chars: DataFrame, policy: Policy = Policy())
         "id",
         "kind",
         "size",
+        *(["sequence", "line"] if lines else []),
     )
-    ordered = rows.groupBy("history_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return rows.groupBy("history_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def select(items: DataFrame, source_chars: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """One row per history: what is chosen, in order, and the account of tokens.
+
+    source_chars has history_id and n_chars, the length of all contents with a line feed
+    between. Protected items are always chosen. Optional ones follow greedily by priority,
+    confidence, recency and cost, each if the whole prompt still fits; one that does not fit
+    is skipped. The prompt's length is additive, so the fold keeps a sum: the envelope, a line
+    per item, and a heading for each kind at its first item. A history without items chooses
+    nothing.
+    """
+    ordered = ordered_entries(items, policy)
     joined = source_chars.join(ordered, "history_id", "left").withColumn("entries", F.coalesce("entries", F.array()))
     floor = F.aggregate(
         F.filter("entries", lambda e: ~e["optional"]),

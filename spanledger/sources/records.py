@@ -22,30 +22,62 @@ class Limits:
     max_line_chars: int = 1_048_576
     max_record_bytes: int = 4_194_304
     max_total_bytes: int = 67_108_864
+    max_depth: int = 128
+    max_digits: int = 640
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = True, limits: Limits = Limits()) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool | None = True, limits: Limits = Limits()) -> DataFrame:
     """Records from JSON lines, or from documents: an array, an object with sources, events or messages, or one object.
 
-    Each file is a history unless its records name history_id. Lines that are no strict JSON
-    object (duplicate keys, NaN) fail the job.
+    Each file is a history unless its records name history_id. Texts that are no strict JSON
+    (duplicate keys, NaN, nested or with integers beyond the limits) fail the job. Where lines
+    is None, files whose name ends in .jsonl hold lines, and of the others those that are no
+    JSON document as a whole; then every file is read as one text, within the bytes of a history.
     """
+    if lines is None:
+        parsed = _detected(spark, path, limits)
+        return defaults(parsed, limits)
     raw = spark.read.option("wholetext", str(not lines).lower()).text(path)
     raw = raw.select(F.regexp_replace("value", "\\A\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     if lines:
         raw = raw.where(F.trim("value") != "")
         raw = raw.withColumn("value", _guard(F.length("value") <= limits.max_line_chars, "line too long", F.col("value")))
-    parsed = raw.withColumn("v", F.try_parse_json("value"))
-    parsed = parsed.withColumn("v", _guard(F.col("v").isNotNull(), "not strict JSON", F.col("v")))
+    parsed = raw.withColumn("v", _strict(F.col("value"), limits))
     if not lines:
-        inner = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("sources", "events", "messages")]
-        many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *inner, F.array(F.col("v")))
-        parsed = parsed.select("file", "row", F.posexplode(many).alias("pos", "v"))
+        parsed = parsed.select("file", "row", F.posexplode(_members(F.col("v"))).alias("pos", "v"))
     else:
         parsed = parsed.withColumn("pos", F.lit(0))
     return defaults(parsed, limits)
 
 
+def _strict(text: Column, limits: Limits) -> Column:
+    """The text as a variant, or a failed job."""
+    value = F.try_parse_json(text)
+    deep = tx.json_depth(text) > limits.max_depth
+    said = F.when(deep, "nested too deep").when(tx.has_long_integer(text, limits.max_digits), "integer too long").when(value.isNull(), "not strict JSON")
+    return F.when(said.isNull(), value).otherwise(F.raise_error(said).cast("void"))
+
+
+def _members(v: Column) -> Column:
+    """The records of a document: of an array, of a list under a known name, or itself."""
+    inner = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ("sources", "events", "messages")]
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *inner, F.array(v))
+
+
+def _detected(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
+    """Files read whole, each taken as lines or as a document by its name or by what it holds."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    raw = raw.select(F.regexp_replace("value", "\\A\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    raw = raw.withColumn("value", _guard(F.octet_length("value") <= limits.max_total_bytes, "file too large", F.col("value")))
+    by_line = F.endswith("file", F.lit(".jsonl")) | F.try_parse_json("value").isNull()
+    texts = F.when(by_line, F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).otherwise(F.array("value"))
+    rows = raw.select("file", "row", by_line.alias("by_line"), F.posexplode(texts).alias("line", "value"))
+    rows = rows.withColumn("value", _guard(~F.col("by_line") | (F.length("value") <= limits.max_line_chars), "line too long", F.col("value")))
+    rows = rows.withColumn("v", _strict(F.col("value"), limits))
+    many = F.when(F.col("by_line"), F.array("v")).otherwise(_members(F.col("v")))
+    return rows.select("file", "row", "line", F.posexplode(many).alias("at", "v")).select("file", "row", (F.col("line") + F.col("at")).alias("pos"), "v")
+
+
 def _guard(ok: Column, message: str, value: Column) -> Column:
     """The value, or a failed job."""
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("void"))
@@ -64,6 +96,7 @@ def defaults(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.coalesce(get("$.history_id"), F.col("file")).alias("history_id"),
         "row",
         "pos",
+        get("$.content_sha256").alias("given"),
         get("$.id").alias("id"),
         get("$.sequence", "bigint").alias("seq"),
         get("$.role").alias("role"),
@@ -73,6 +106,9 @@ def defaults(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.coalesce(get("$.authority.trusted_for_state", "boolean"), get("$.metadata.trusted_for_state", "boolean"), F.lit(False)).alias("trusted"),
         F.coalesce(get("$.authority.trusted_for_state", "boolean"), get("$.metadata.trusted_for_state", "boolean")).alias("said"),
     )
+    other = (F.col("given") != "") & (F.col("given") != F.sha2(F.col("content").cast("binary"), 256))
+    wrong = F.raise_error(F.concat_ws(": ", "history_id", F.lit("content_sha256 of another content"))).cast("string")
+    rows = rows.withColumn("content", F.when(F.coalesce(other, F.lit(False)), wrong).otherwise(F.col("content")))
     order = Window.partitionBy("history_id").orderBy("row", "pos")
     rows = rows.withColumn("sequence", F.coalesce("seq", (F.row_number().over(order) - 1).cast("bigint")))
     made = F.concat(F.lit("s"), F.lpad(F.col("sequence").cast("string"), 6, "0"), F.lit("-"), F.left(tx.hash_of(F.col("role"), F.col("content")), F.lit(20)))

@@ -1,5 +1,6 @@
 """Operators on small literal histories; operator IDs are named in each test."""
 
+import hashlib
 import random
 import re
 
@@ -391,3 +392,103 @@ def test_artifacts_are_read_strictly_K1_S9(spark):
     for bent, codes in ((text[:-1], {"invalid_artifact_json"}), (text.replace("fix the login", "fix the logon", 1), {"artifact_digest_mismatch"}), ("null", {"invalid_artifact_json"}), (None, {"invalid_artifact_json"})):
         given = spark.createDataFrame([("h", bent)], "history_id string, artifact string")
         assert {x.code for x in artifact.issues(artifact.load(given), rows).collect()} == codes
+
+
+# ---- limits, plug-ins, sources, command line ----
+
+
+def test_histories_beyond_their_limits_are_refused(spark):
+    from spanledger.operators import limits
+
+    rows = records(spark, *[("user", f"the door {i} must be closed") for i in range(5)])
+    found = extract.extract(rows)
+    limits.refuse(found)
+    with pytest.raises(ValueError, match="comparisons"):
+        limits.refuse(found, limits.Limits(max_comparisons=9))
+    with pytest.raises(ValueError, match="items"):
+        compile_histories(rows, limits=limits.Limits(max_items=4))
+    assert limits.exceeded(found.limit(0)).collect() == []
+    left = [x.allowance for x in limits.allowance(found, rows, limits.Limits(max_items=3)).orderBy("sequence").collect()]
+    assert left == [3, 2, 1, 0, -1]
+
+
+def test_a_failing_primary_extractor_degrades_unless_strict_UD1(spark):
+    from spanledger.operators import limits
+
+    rows = records(spark, ("user", "goal: fix the login"))
+    found = extract.extract(rows)
+    broken = lambda r: r.select(F.raise_error(F.lit("no")).alias("history_id"))
+    items, failure = limits.primary_or(broken, rows, found)
+    assert failure and [x.text for x in items.collect()] == ["fix the login"]
+    with pytest.raises(Exception):
+        limits.primary_or(broken, rows, found, strict=True)
+    assert limits.primary_or(lambda r: found, rows, found.limit(0))[1] is None
+
+
+def test_token_counters_that_are_not_additive_UD4(spark):
+    from spanledger.operators import limits
+
+    rows = records(spark, ("user", "goal: fix the login\nprogress: half done\nprogress: tests are written"))
+    found = extract.extract(rows)
+    few = limits.select_counted(found, rows, lambda t: len(set(t)), "letters", select.Policy(token_budget=1, minimum_ratio=1.0)).first()
+    many = limits.select_counted(found, rows, lambda t: len(set(t)), "letters", select.Policy(token_budget=999, minimum_ratio=0.1)).first()
+    assert (len(few.selected), len(many.selected), many.counter_id) == (1, 3, "letters")
+    with pytest.raises(Exception, match="gave -1"):
+        limits.select_counted(found, rows, lambda t: -1, "bad").collect()
+
+
+def test_files_of_any_kind_are_detected_and_bounded_S1_S4_S5(spark, tmp_path):
+    texts = {
+        "a.jsonl": '{"role":"user","content":"one"}\n\n{"role":"user","content":"two"}', "b.json": '{"events":[{"role":"user","content":"three"}]}',
+        "c.txt": '{"role":"user","content":"four"}\n{"role":"user","content":"five"}', "d.json": '[{"role":"user","content":"six"}]', "e.json": '{"role":"user","content":"seven"}',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = source.read_json(spark, str(tmp_path), lines=None)
+    assert sorted(x.content for x in got.collect()) == sorted("one two three four five six seven".split())
+    assert got.select("history_id").distinct().count() == 5
+    digest = hashlib.sha256(b"x").hexdigest()
+    for k, (text, message) in enumerate(
+        [("[" * 130 + "]" * 130, "nested too deep"), ('{"role":"user","content":"x","metadata":' + "7" * 700 + "}", "integer too long"), ('{"role":"user","content":"y","content_sha256":"' + digest + '"}', "content_sha256")]
+    ):
+        (tmp_path / f"bad{k}").mkdir()
+        (tmp_path / f"bad{k}" / "x.jsonl").write_text(text)
+        for lines in (True, None):
+            with pytest.raises(Exception, match=message):
+                source.read_json(spark, str(tmp_path / f"bad{k}"), lines=lines).collect()
+    (tmp_path / "good.jsonl").write_text('{"role":"user","content":"x","content_sha256":"' + digest + '"}')
+    assert source.read_json(spark, str(tmp_path / "good.jsonl")).count() == 1
+
+
+def test_archives_refuse_an_unexpected_head_and_half_chains_A1_A3(spark):
+    held = archive.archived(records(spark, ("user", "one"), ("user", "two")))
+    head = held.orderBy(F.desc("position")).select("history_id", F.col("entry").alias("head")).limit(1)
+    more = records(spark, ("user", "one"))
+    assert archive.append(held, more, head).count() == 0
+    with pytest.raises(ValueError, match="unexpected head"):
+        archive.append(held, more, head.withColumn("head", F.lit("0")))
+    with pytest.raises(Exception, match="chained in part"):
+        archive.upgrade(held.withColumns({c: F.when(F.col("position") == 0, F.col(c)) for c in ("previous", "entry", "position")})).collect()
+
+
+def test_command_line_K6(spark, tmp_path, capsys):
+    from spanledger.__main__ import main
+
+    path = lambda n: str(tmp_path / n)
+    (tmp_path / "r.jsonl").write_text('{"history_id":"h","role":"user","content":"goal: fix the login\\nconstraint: the door must be closed"}\n')
+    assert main(["compile", path("r.jsonl"), path("out"), "--prompts", path("prompts")], spark) == 0
+    assert "fix the login" in spark.read.parquet(path("prompts")).first().prompt
+    assert main(["compile", path("r.jsonl"), path("out2"), "--require-target"], spark) == 4
+    capsys.readouterr()
+    assert main(["verify", path("out"), path("r.jsonl")], spark) == 0 and capsys.readouterr().out == ""
+    made = spark.read.parquet(path("out"))
+    made.withColumn("artifact", F.replace("artifact", F.lit("fix the login"), F.lit("fix the logon"))).write.parquet(path("bent"))
+    assert main(["verify", path("bent"), path("r.jsonl")], spark) == 3
+    told = capsys.readouterr().out
+    assert "artifact_digest_mismatch" in told and "invalid_provenance" in told
+    assert main(["inspect", path("out")], spark) == 0 and main(["diff", path("out"), path("bent")], spark) == 0
+    assert "modified" in capsys.readouterr().out
+    assert main(["archive", path("r.jsonl"), path("kept")], spark) == 0 and main(["head", path("kept")], spark) == 0
+    assert main(["redact", path("r.jsonl"), path("masked")], spark) == 0
+    (tmp_path / "no.jsonl").write_text("{")
+    assert main(["compile", path("no.jsonl"), path("out3")], spark) == 2
