@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 #: log2 of the children of a node.
 FANOUT = 8
@@ -108,11 +108,12 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         if above is None:
             a = a.withColumn("from", F.lit(0).cast("long"))
         else:
-            a = a.join(above.select(F.col("node").alias("parent"), F.col("start").alias("from")), "parent")
-            b = b.join(above.select(F.col("node").alias("other_parent")), "other_parent")
+            near = small(above)  # few nodes differ: then the others of a level are passed over where they lie
+            a = a.join(near.select(F.col("node").alias("parent"), F.col("start").alias("from")), "parent")
+            b = b.join(near.select(F.col("node").alias("other_parent")), "other_parent")
         both = a.join(b, "node", "full_outer").withColumn("parent", F.coalesce("parent", "other_parent"))
         if above is not None:  # a node of the right replica only takes its start from its parent
-            both = both.join(above.select(F.col("node").alias("parent"), F.col("start").alias("own")), "parent").withColumn("from", F.coalesce("from", "own")).drop("own")
+            both = both.join(near.select(F.col("node").alias("parent"), F.col("start").alias("own")), "parent").withColumn("from", F.coalesce("from", "own")).drop("own")
         before = F.sum(F.coalesce("n_bytes", F.lit(0))).over(Window.partitionBy("parent").orderBy("node"))
         if above is None:
             before = F.sum(F.coalesce("n_bytes", F.lit(0))).over(Window.orderBy("node"))
