@@ -95,6 +95,35 @@ def manifest(records: DataFrame, items: DataFrame, summary: DataFrame, heads: Da
     return out.withColumn("manifest_sha256", tx.hash_of(F.lit("1.0"), *[F.col(c) for c in ("history_id", "source_digest", "source_count", "artifact_digest", "archive_head")]))
 
 
+#: Fields of a manifest's text, and its limits in bytes and depth.
+MANIFEST = ["history_id string", "source_digest string", "source_count bigint", "artifact_digest string", "archive_head string", "manifest_sha256 string"]
+MANIFEST_BYTES, MANIFEST_DEPTH = 65_536, 8
+
+
+def manifest_text(manifests: DataFrame) -> DataFrame:
+    """history_id and text: each manifest as JSON, to be kept in a file or table."""
+    fields = [f.split(" ")[0] for f in MANIFEST]
+    return manifests.select("history_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("text"))
+
+
+def load_manifests(texts: DataFrame) -> DataFrame:
+    """Text, readable and the fields of each manifest text, null where it is none.
+
+    Readable is strict JSON of a bounded size and depth with exactly the known fields; a
+    missing archive is a null head.
+    """
+    text, keys = F.col("text"), sorted(f.split(" ")[0] for f in MANIFEST)
+    bounded = (F.octet_length(text) <= MANIFEST_BYTES) & (tx.json_depth(text) <= MANIFEST_DEPTH) & F.try_parse_json(text).isNotNull()
+    closed = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in keys])
+    rows = texts.select("text", F.coalesce(bounded & closed, F.lit(False)).alias("shaped"), F.from_json("text", ", ".join(MANIFEST)).alias("m"))
+    needed = [f"m.{k}" for k in keys if k != "archive_head"]
+    whole = F.lit(True)
+    for k in needed:
+        whole = whole & F.col(k).isNotNull()
+    rows = rows.select("text", (F.col("shaped") & whole).alias("readable"), "m")
+    return rows.select("text", "readable", *[F.when(F.col("readable"), F.col(f"m.{k}")).alias(k) for k in (f.split(" ")[0] for f in MANIFEST)])
+
+
 def verify_manifest(given: DataFrame, anchors: DataFrame, records: DataFrame, items: DataFrame, heads: DataFrame) -> DataFrame:
     """The checks of each manifest as booleans, and passed; the anchor (history_id, expected) is required."""
     own = tx.hash_of(F.lit("1.0"), *[F.col(c) for c in ("history_id", "source_digest", "source_count", "artifact_digest", "archive_head")])

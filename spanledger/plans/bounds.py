@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.tables import settle
-from ..operators import archive, bundle, evaluate, extract, limits, select
+from ..operators import archive, bundle, evaluate, extract, limits, report, select
 from ..operators.resolve import COLUMNS
 from ..sources import derived
 from . import faults
@@ -164,6 +164,24 @@ def checkpoint_refusals(spark, sf_dir):
     return bundle.resume_issues(rows, state, live)
 
 
+@query(f"SELECT {U} AS history_id, md5(c_name) AS source_digest, c_custkey AS source_count FROM customer WHERE c_custkey % 6 = 0")
+def manifests_reread(spark, sf_dir):
+    """Manifests as texts, read back; cut off, with another field, nested, too long or without a digest they are none."""
+    n = F.col("source_count") % 6
+    made = customers(spark, sf_dir).select(
+        "history_id", F.md5("content").alias("source_digest"), F.col("n").alias("source_count"), F.lit("a").alias("artifact_digest"), F.lit(None).cast("string").alias("archive_head"), F.lit("m").alias("manifest_sha256")
+    )
+    made = made.withColumn("source_digest", F.when(n != 5, F.col("source_digest")))
+    key = F.substring("history_id", 2, 20).cast("bigint") % 6
+    text = F.col("text")
+    more = lambda extra: F.concat(F.expr("left(text, length(text) - 1)"), extra, F.lit("}"))
+    bent = (
+        F.when(key == 1, F.expr("left(text, length(text) - 1)")).when(key == 2, more(F.lit(',"own":1'))).when(key == 3, F.replace(text, F.lit('"a"'), F.lit("[" * 9 + "]" * 9)))
+        .when(key == 4, F.replace(text, F.lit('"a"'), F.concat(F.lit('"'), F.repeat(F.lit("a"), 70_000), F.lit('"')))).otherwise(text)
+    )
+    return report.load_manifests(report.manifest_text(made).select(bent.alias("text"))).where("readable").select("history_id", "source_digest", "source_count")
+
+
 @query(f"SELECT 'p' || {K} AS history_id, p_partkey % 7 <> 0 AS passed, CAST(15 AS BIGINT) AS n_items, CAST(2 AS BIGINT) AS n_conflicting, 13 AS n_selected FROM part")
 def compile_events(spark, sf_dir):
     """K7: one log row for each history."""
