@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -26,7 +26,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, on_change: Callable[[
 
     def apply(batch: DataFrame, number: int) -> None:
         held = stored(spark, table, batch.schema, before=number)
-        fresh = archive.append(held, batch)
+        fresh = archive.append(held, numbered(batch, held))
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
         if on_change is not None:
             touched = spark.read.schema(batch.schema).parquet(f"{table}/batch={number}").select("history_id").distinct()
@@ -36,6 +36,19 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, on_change: Callable[[
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """ST1: records without a sequence follow the highest one of their history, held or in the batch, in the order of their ids.
+
+    One that was held before, by its id, keeps the sequence it got then; equal rows of the batch are one.
+    """
+    known = held.select("history_id", "source_id", F.col("sequence").alias("_held"))
+    last = held.select("history_id", "sequence").unionByName(batch.select("history_id", "sequence")).groupBy("history_id").agg(F.coalesce(F.max("sequence"), F.lit(-1)).alias("_last"))
+    rows = batch.dropDuplicates([c for c in archive.RECORD + ["history_id"] if c in batch.columns]).join(known, ["history_id", "source_id"], "left")
+    rows = rows.withColumn("sequence", F.coalesce("sequence", "_held")).join(last, "history_id", "left")
+    place = F.row_number().over(Window.partitionBy("history_id", F.col("sequence").isNull()).orderBy("source_id"))
+    return rows.withColumn("sequence", F.coalesce("sequence", F.col("_last") + place).cast(batch.schema["sequence"].dataType)).select(*batch.columns)
+
+
 def stored(spark: SparkSession, table: str, schema: StructType, before: int | None = None) -> DataFrame:
     """The records ingested so far, without those of batch ``before`` and later."""
     empty = spark.createDataFrame([], schema)

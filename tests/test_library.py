@@ -492,3 +492,16 @@ def test_command_line_K6(spark, tmp_path, capsys):
     assert main(["redact", path("r.jsonl"), path("masked")], spark) == 0
     (tmp_path / "no.jsonl").write_text("{")
     assert main(["compile", path("no.jsonl"), path("out3")], spark) == 2
+
+
+def test_records_without_a_sequence_follow_the_last_ST1(spark):
+    row = lambda h, i, n, c: (h, i, n, "user", c, False, False)
+    held = spark.createDataFrame([row("h", "a", 4, "one"), row("h", "b", 2, "two")], RECORD)
+    batch = spark.createDataFrame([row("h", "d", None, "four"), row("h", "c", None, "three"), row("h", "c", None, "three"), row("h", "a", None, "one"), row("h", "e", 7, "late"), row("g", "x", None, "new")], RECORD)
+    given = {(x.history_id, x.source_id): x.sequence for x in ingest.numbered(batch, held).collect()}
+    assert given == {("h", "a"): 4, ("h", "c"): 8, ("h", "d"): 9, ("h", "e"): 7, ("g", "x"): 0}
+    assert sorted(x.source_id for x in archive.append(held, ingest.numbered(batch, held)).collect()) == ["c", "d", "e", "x"]
+    changed = spark.createDataFrame([row("h", "a", None, "another")], RECORD)
+    with pytest.raises(Exception, match="collision"):
+        archive.append(held, ingest.numbered(changed, held)).collect()
+    assert ingest.numbered(batch.limit(0), held).collect() == []
