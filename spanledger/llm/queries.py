@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, fixity, langid, packing, quality, simhash, suffix_dedup, token_bits, toxicity
+from . import (
+    decontam, embedding_dedup, exact_dedup, fixity, hard_negatives, langid, packing, quality, simhash, suffix_dedup, token_bits,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +65,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = (F.col("label").cast("long") + 1) % 10
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_language_id, op2_warc_fixity, op3_length_buckets, op4_suffix_dedup, op5_decontamination,
         op6_quality, op7_simhash, op8_exact_dedup, op9_token_bits, op10_toxicity,
+        op12_hard_negatives, op13_embedding_dedup,
     ]
     return {f.__name__: f for f in found}
 
@@ -75,4 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_fixity": fixity.ORACLE,
         "op5_decontamination": decontam.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+        "op13_embedding_dedup": embedding_dedup.ORACLE,
     }
