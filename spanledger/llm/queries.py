@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontam, embedding_dedup, exact_dedup, fixity, hard_negatives, langid, packing, quality, simhash, suffix_dedup, token_bits,
-    toxicity,
+    decontam, embedding_dedup, exact_dedup, fixity, hard_negatives, langid, packing, prefix_trie, quality, simhash, suffix_dedup,
+    token_bits, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.sequences(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(found))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = (F.col("label").cast("long") + 1) % 10
@@ -80,7 +85,7 @@ def queries() -> dict[str, Query]:
     found = [
         op1_language_id, op2_warc_fixity, op3_length_buckets, op4_suffix_dedup, op5_decontamination,
         op6_quality, op7_simhash, op8_exact_dedup, op9_token_bits, op10_toxicity,
-        op12_hard_negatives, op13_embedding_dedup,
+        op11_prefix_trie, op12_hard_negatives, op13_embedding_dedup,
     ]
     return {f.__name__: f for f in found}
 
@@ -90,6 +95,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_fixity": fixity.ORACLE,
         "op5_decontamination": decontam.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
         "op12_hard_negatives": hard_negatives.ORACLE,
         "op13_embedding_dedup": embedding_dedup.ORACLE,
     }
