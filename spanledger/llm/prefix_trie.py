@@ -128,7 +128,7 @@ def with_heads_of(found: DataFrame, donor: Column, n: Column, most: int) -> Data
     )
     every = found.groupBy("conv_id").agg(F.max(F.col("at") + F.size("sizes")).alias("n"))
     every = every.withColumn("donor", donor).withColumn("k", n.cast("int")).join(opening, "donor", "left")
-    every = every.withColumn("got", F.coalesce(F.least("k", F.size("head_sizes")), F.lit(0)))
+    every = every.withColumn("got", F.when(F.col("head_sizes").isNull(), F.lit(0)).otherwise(F.least("k", F.size("head_sizes"))))
     heads = every.where("got > 0 or n <= k").select(
         "conv_id",
         F.lit(0).cast("long").alias("at"),
