@@ -35,8 +35,8 @@ def sha256(text: Column) -> Column:
 
 
 def _order() -> Column:
-    """The largest stays: most code points, then the smallest id (null ids last), then the first in the copy."""
-    return F.struct(F.col("n_points").alias("points"), (-F.col("doc_id")).alias("rank"), (-F.col("locator")).alias("place"))
+    """The largest stays: most code points, then the smallest id (null ids last), then the first in the copy; ~id falls as id rises, for every long."""
+    return F.struct(F.col("n_points").alias("points"), F.bitwise_not("doc_id").alias("rank"), (-F.col("locator")).alias("place"))
 
 
 def fold_stream(slim: DataFrame, content: DataFrame, state_dir: str, out_dir: str) -> None:
@@ -139,7 +139,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ca
     # Cut, so that the joins stand directly on their exchanges and a hot digest can be split.
     state = cut(
         current_state(spark, f"{run}/out").select(
-            "digest", (-F.col("keep.rank")).alias("keep_id"), (-F.col("keep.place")).alias("keep_at"), F.col("n_rows").alias("group_size")
+            "digest", F.bitwise_not("keep.rank").alias("keep_id"), (-F.col("keep.place")).alias("keep_at"), F.col("n_rows").alias("group_size")
         )
     )
     told = ["doc_id", "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept")]
@@ -156,7 +156,7 @@ def _regroup(rows: DataFrame, carry: Sequence[str]) -> DataFrame:
     best = cut(rows.groupBy("body").agg(F.max(_order()).alias("best"), F.count("*").alias("group_size")))
     return rows.join(best, "body").select(
         "doc_id",
-        (-F.col("best.rank")).alias("keep_id"),
+        F.bitwise_not("best.rank").alias("keep_id"),
         "group_size",
         (F.col("locator") == -F.col("best.place")).alias("kept"),
         sha256(F.col("body")).alias("text_sha256"),

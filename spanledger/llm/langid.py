@@ -39,8 +39,8 @@ def letters() -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, with 32 for what is no letter."""
-    found = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    """Code points of a lower-cased text, with 32 for what is no letter."""
+    found = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(letters()[found], found, np.uint32(32))
 
 
@@ -83,9 +83,10 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     for number, text in enumerate(texts):
         if not text:
             continue
-        own = np.concatenate([pad[:1], codes(text), pad])
-        for at in range(0, len(own) - 2, PIECE):
-            part = own[at : at + PIECE + 2]
+        low = text.lower()
+        for at in range(0, len(low) + 1, PIECE):
+            behind = min(max(at + PIECE + 1 - len(low), 0), 2)
+            part = np.concatenate([pad[: at == 0], codes(low[max(at - 1, 0) : at + PIECE + 1]), pad[:behind]])
             if held and size + len(part) > PIECE:
                 yield flush()
                 held, numbers, size = [], [], 0

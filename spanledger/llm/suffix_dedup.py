@@ -411,4 +411,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         again = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
         out = out.join(numbers, "doc_id").withColumn("_again", again).withColumn("doc_id", F.col("id"))
         return out.drop("id", "times", "_again")
+    if rows.where(F.col("doc_id") == NO_ID).isEmpty() or docs.where(F.col("doc_id").isNull()).isEmpty():
+        return out
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

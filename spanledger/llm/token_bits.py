@@ -33,6 +33,8 @@ BLOCK_IDS = 1 << 20
 END_ID = 1
 #: Entries of each of the two generations of a worker's cache.
 CACHE = 400_000
+#: Longer chunks and words are not cached, so that a cache is bounded in bytes as well.
+SHORT = 64
 #: Characters from which a text is taken in parts.
 LONG = 1 << 20
 
@@ -160,7 +162,8 @@ class Encoder:
             found = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
             if len(self.words) >= CACHE:
                 self.words.clear()
-            self.words[word] = found
+            if len(word) <= SHORT:
+                self.words[word] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -170,6 +173,8 @@ class Encoder:
                 found = b"".join([self._word(w) for w in SPLIT.findall(chunk.lower())])
             else:
                 found = self._whole(chunk)
+        if len(chunk) > SHORT:
+            return found
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         self.young[chunk] = found
@@ -195,16 +200,16 @@ def _contents(path: str) -> str:
 def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Tokenise docs (doc_id, text) into a table of blocks at ``path``.
 
-    Columns: part and seq (ascending in document order), n_docs, n_ids, block. A null text is
-    encoded as empty; rows without an id come first with the id of the smallest long. Rows that
+    Columns: part and seq (ascending in document order), n_docs, n_ids, n_null, block. A null text
+    is encoded as empty; rows without an id come first, with the id 0 in the block, whose first
+    n_null documents they are. Rows that
     repeat an id (or have none) stay next to each other in the order of their texts' hashes and
     then of their texts, so that only rows alike in both could change places.
     """
-    smallest = F.lit(-(1 << 63))
     text = F.coalesce("text", F.lit(""))
     # The place among the rows spreads rows that are alike in all else over the parts.
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place")
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("place")
     )
     contents = docs.sparkSession.sparkContext.broadcast(_contents(tokenizer))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -219,27 +224,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
         coder = held[0]
         doc_ids: list[int] = []
         each: list[np.ndarray] = []
-        n = 0
+        n = nulls = 0
 
         def block() -> pd.DataFrame:
             return pd.DataFrame(
-                {"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [n], "block": [Block.of(coder.bits, doc_ids, each).tobytes()]}
+                {"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [n], "n_null": [nulls], "block": [Block.of(coder.bits, doc_ids, each).tobytes()]}
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for known, doc_id, text in zip(batch["known"], batch["doc_id"], batch["text"], strict=True):
                 ids = coder.ids(text)
                 doc_ids.append(doc_id)
                 each.append(ids)
                 n += len(ids)
+                nulls += not known
                 if n >= block_ids:
                     yield block()
-                    doc_ids, each, n, seq = [], [], 0, seq + 1
+                    doc_ids, each, n, nulls, seq = [], [], 0, 0, seq + 1
         if doc_ids:
             yield block()
 
-    ordered = rows.repartitionByRange(tasks, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text")
-    ordered.select("doc_id", "text").mapInPandas(encode, "part int, seq int, n_docs long, n_ids long, block binary").write.parquet(path)
+    ordered = rows.repartitionByRange(tasks, "known", "doc_id", "hash", "place").sortWithinPartitions("known", "doc_id", "hash", "text")
+    ordered.select("known", "doc_id", "text").mapInPandas(encode, "part int, seq int, n_docs long, n_ids long, n_null long, block binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -257,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, seq, raw in zip(batch["part"], batch["seq"], batch["block"], strict=True):
+            for part, seq, nulls, raw in zip(batch["part"], batch["seq"], batch["n_null"], batch["block"], strict=True):
                 block = Block.read(raw)
                 ids = unpack(block.data, block.bits, 0, int(block.offsets[-1])).astype("<u4")
                 at = block.offsets.astype(np.int64)
@@ -265,6 +271,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     {
                         "part": part,
                         "seq": seq,
+                        "known": np.arange(len(block.doc_ids)) >= nulls,
                         "doc_id": block.doc_ids,
                         "within": at[:-1],
                         "n_tokens": np.diff(at),
@@ -273,12 +280,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     }
                 )
 
-    told = blocks.select("part", "seq", "block").mapInPandas(
-        decode, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long, bits int"
+    told = blocks.select("part", "seq", "n_null", "block").mapInPandas(
+        decode, "part int, seq int, known boolean, doc_id long, within long, n_tokens long, ids_crc32 long, bits int"
     )
-    smallest = F.lit(-(1 << 63))
     return told.join(starts, ["part", "seq"]).select(
-        F.when(F.col("doc_id") != smallest, F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("known"), F.col("doc_id")).alias("doc_id"),
         (F.col("start") + F.col("within")).alias("start"),
         "n_tokens",
         "ids_crc32",

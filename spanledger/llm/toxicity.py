@@ -31,6 +31,8 @@ BEGINNINGS = (4, 5, 6, 7)
 SIGNIFICANT = 30.0
 #: Entries of a worker's cache of word columns.
 CACHE = 1 << 19
+#: Characters of the chunks in it.
+HELD = 1 << 25
 #: Chunks scored at once, about, and characters from which a text is taken in parts.
 PIECE, LONG = 1 << 18, 1 << 20
 #: The chunks of a text and its line breaks, as ``numbers`` takes them.
@@ -58,10 +60,11 @@ class Chunks(dict):
 
     def __init__(self, of):
         super().__init__()
-        self.of, self.values, self.words, self.ends, self.age = of, [], [], [], 0
+        self.of, self.values, self.words, self.ends, self.age, self.held = of, [], [], [], 0, 0
 
     def __missing__(self, chunk: str) -> int:
         own = WORDS.findall(chunk)
+        self.held += len(chunk)
         number = self[chunk] = len(self.values)
         self.values.append(self.of(own))
         self.words.append(len(own))
@@ -73,9 +76,9 @@ class Chunks(dict):
 
         Numbers hold while ``age`` is the same; a full cache is begun anew if ``renew`` allows it.
         """
-        if renew and len(self.values) >= CACHE:
+        if renew and (len(self.values) >= CACHE or self.held >= HELD):
             self.clear()
-            self.values, self.words, self.ends, self.age = [], [], [], self.age + 1
+            self.values, self.words, self.ends, self.age, self.held = [], [], [], self.age + 1, 0
         return [self[chunk] for chunk in (text or "").lower().replace("\n", " . ").split()]
 
 

@@ -797,3 +797,40 @@ def test_pipeline_of_nulls_repeats_odd_names_and_empty_tables(spark, tmp_path):
     nothing = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).collect() == []
+
+
+# ---- ids and texts at the edges ----
+
+
+@pytest.mark.parametrize("with_null", [False, True])
+def test_smallest_id_is_an_id(spark, with_null):
+    least = -(1 << 63)
+    text = words(random.Random(61), 40)
+    rows = [(least, text), (5, text), ((1 << 63) - 1, text + " x")] + [(None, text)] * with_null
+    docs = frame(spark, rows)
+    assert sorted((x.doc_id for x in suffix_dedup.suffix_dedup(docs).collect()), key=str) == sorted((x[0] for x in rows), key=str)
+    exact = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_dedup(docs).collect()}
+    assert exact[least] == (least, 2 + with_null, True) and exact[5] == (least, 2 + with_null, False) and exact[(1 << 63) - 1][2]
+    got = token_bits.token_bits(docs, tokenizer_path()).orderBy("start").collect()
+    assert [x.doc_id for x in got] == [None] * with_null + [least, 5, (1 << 63) - 1]
+
+
+def test_language_counts_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    text = "ΑΣ bΣ İx, the ΟΔΟΣ " * 40
+    whole = langid.log_odds([text, "ab"], np.arange(2 * 65, dtype=float).reshape(2, 65))
+    for piece in (7, 40, len(text.lower()), len(text.lower()) + 1):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut_up = langid.log_odds([text, "ab"], np.arange(2 * 65, dtype=float).reshape(2, 65))
+        assert np.allclose(cut_up[0], whole[0]) and (cut_up[1] == whole[1]).all()
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 1000)
+    chunks = toxicity.Chunks(len)
+    for k in range(30):
+        chunks.numbers(f"{k}" + "x" * 400 + " some words here")
+    assert sum(map(len, chunks)) < 2000
+    coder = token_bits.Encoder(token_bits._contents(tokenizer_path()))
+    long = "ab" * 5000
+    assert coder.ids(long + " " + long).tolist()[:-1] == coder.tokenizer.encode(long + " " + long, add_special_tokens=False).ids
+    assert max(map(len, [*coder.young, *coder.words])) <= token_bits.SHORT
