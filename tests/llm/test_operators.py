@@ -833,4 +833,4 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
     coder = token_bits.Encoder(token_bits._contents(tokenizer_path()))
     long = "ab" * 5000
     assert coder.ids(long + " " + long).tolist()[:-1] == coder.tokenizer.encode(long + " " + long, add_special_tokens=False).ids
-    assert max(map(len, [*coder.young, *coder.words])) <= token_bits.SHORT
+    assert max(map(len, [*coder.young, *coder.words]), default=0) <= token_bits.SHORT
