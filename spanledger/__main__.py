@@ -58,7 +58,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         rows = read(args.records)
         masked = redact.redact(rows, args.mask)
         source.write_json(masked.select(*rows.columns), args.out)
-        _show(redact.report(redact.findings(masked, rows)))
+        _show(redact.report(redact.findings(masked)))
         return OK
     if args.command == "archive":
         archive.archived(read(args.records)).write.parquet(args.out)

@@ -1,10 +1,11 @@
-"""Cutting lineage between steps."""
+"""Cutting lineage between steps, and rows out of arrays."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def unnest(rows: DataFrame, keep: list[str | Column], array: Column, name: str, place: str | None = None) -> DataFrame:
+    """One row for each element of an array that is costly to compute.
+
+    explode() would let the optimiser add a filter on the array's size below it, which
+    computes the array a second time; an outer explode does not.
+    """
+    told = F.explode_outer(array).alias(name) if place is None else F.posexplode_outer(array).alias(place, name)
+    return rows.select(*keep, told).where(F.col(name if place is None else place).isNotNull())

@@ -5,7 +5,9 @@ Offsets are 0-based code points, as Spark counts characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
@@ -16,6 +18,14 @@ MARK = "\u0001"
 MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that rows do not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def like(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
@@ -71,22 +81,56 @@ def _cells(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), odd).otherwise(plain)
 
 
+#: Entries that a fold appends to one array before it begins the next.
+BLOCK = 128
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def folded(items: Column, state: Column, step: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """The whole numbers that a fold gives on its way: step(state, item, its place) is the next state and an array of them.
+
+    Everything that a fold carries is copied at every step, so texts and structs are given by
+    their places, and numbers are gathered in blocks: n of them cost n * BLOCK / 2 +
+    (n / BLOCK) ** 2 / 2 copies instead of n ** 2 / 2. items is computed once only if bound.
+    """
+    none = F.array().cast("array<int>")
+
+    def block(outer: Column, k: Column) -> Column:
+        def one(inner: Column, i: Column) -> Column:
+            after, new = step(inner["state"], F.get(items, i), i)
+            return F.struct(after.alias("state"), F.concat(inner["given"], new).alias("given"))
+
+        def close(inner: Column) -> Column:
+            return F.struct(inner["state"].alias("state"), F.concat(outer["blocks"], F.array(inner["given"])).alias("blocks"))
+
+        own = F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, F.size(items)) - 1)
+        return F.aggregate(own, F.struct(outer["state"].alias("state"), none.alias("given")), one, close)
+
+    last = ((F.size(items) - 1) / BLOCK).cast("int")
+    first = F.struct(state.alias("state"), F.array().cast("array<array<int>>").alias("blocks"))
+    told = F.aggregate(F.sequence(F.lit(0), last), first, block, lambda outer: F.flatten(outer["blocks"]))
+    return F.when(F.size(items) == 0, none).otherwise(told)
+
+
 def _every_other(cells: Column, first: int) -> Column:
-    """array<struct<start, text>> of the cells first, first + 2 ..., in one pass with a running offset."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    """array<struct<start, text>> of the cells first, first + 2 ..., each with the length of all before it."""
 
-    def step(s: Column, cell: Column) -> Column:
-        own = F.array(F.struct(s["at"].alias("start"), cell.alias("text")))
-        return F.struct(
-            (s["at"] + F.length(cell)).alias("at"), (s["n"] + 1).alias("n"), F.when(s["n"] % 2 == first, F.concat(s["out"], own)).otherwise(s["out"]).alias("out")
-        )
+    def told(all_: Column) -> Column:
+        starts = folded(all_, F.lit(0), lambda at, cell, _: (at + F.length(cell), F.array(at)))
+        place = F.sequence(F.lit(first), F.size(all_) - 1, F.lit(2))
+        found = bound(starts, lambda at: F.transform(place, lambda k: F.struct(F.get(at, k).alias("start"), F.get(all_, k).alias("text"))))
+        return F.when(F.size(all_) > first, found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
-    return F.aggregate(cells, empty, step, lambda s: s["out"])
+    return F.when(cells.isNotNull(), bound(cells, told))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>> of a pattern's matches from left to right."""
-    return _every_other(_cells(text, pattern), 1)
+    """array<struct<start, text>> of a pattern's matches from left to right; a text without any is passed over once."""
+    return F.when(like(text, pattern), _every_other(_cells(text, pattern), 1)).when(text.isNotNull(), F.array().cast("array<struct<start:int,text:string>>"))
 
 
 def pieces(text: Column, separator: str) -> Column:

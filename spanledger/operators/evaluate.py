@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tables import unnest
 
 
 def truncate(records: DataFrame, budget_chars: int, tail: bool = False) -> DataFrame:
@@ -25,7 +26,7 @@ def truncate(records: DataFrame, budget_chars: int, tail: bool = False) -> DataF
 
 def rarity(records: DataFrame) -> DataFrame:
     """AG12: each token's record frequency in its history and its rarity, ln((n + 1) / (df + 1))."""
-    own = records.select("history_id", "source_id", F.explode(tx.token_set(F.col("content"))).alias("token"))
+    own = unnest(records, ["history_id", "source_id"], tx.token_set(F.col("content")), "token")
     df = own.groupBy("history_id", "token").agg(F.count_distinct("source_id").alias("df"))
     total = records.groupBy("history_id").agg(F.count_distinct("source_id").alias("n"))
     return df.join(total, "history_id").withColumn("rarity", F.log((F.col("n") + 1) / (F.col("df") + 1)))
@@ -33,7 +34,7 @@ def rarity(records: DataFrame) -> DataFrame:
 
 def extractive(records: DataFrame, budget_chars: int) -> DataFrame:
     """Records by mean rarity of their tokens, the best first, each if it still fits."""
-    scored = records.select("history_id", "source_id", F.explode(tx.token_set(F.col("content"))).alias("token")).join(rarity(records), ["history_id", "token"])
+    scored = unnest(records, ["history_id", "source_id"], tx.token_set(F.col("content")), "token").join(rarity(records), ["history_id", "token"])
     scored = scored.groupBy("history_id", "source_id").agg(F.avg("rarity").alias("score"))
     rows = records.join(scored, ["history_id", "source_id"], "left")
     entry = F.struct((-F.coalesce("score", F.lit(0.0))).alias("rank"), "sequence", "source_id", (F.length("content") + 1).alias("size"))

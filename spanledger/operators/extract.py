@@ -1,16 +1,17 @@
 """Claims out of records: lines, labels, sections, classification, exact literals.
 
-Records are dealt by history once; every window below is keyed by the history first, so no
-further shuffle follows. Each record's lines give an array of atoms, each atom an item.
+Places of lines and sections are folded within each record before its lines become rows, so
+nothing is shuffled. Each line gives an array of atoms, each atom an item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..functions.tables import unnest
 
 #: Some word of every diagnostic, in lower case: a text without any holds none.
 ERROR_HINT = r"error|exception|traceback|fault|panic|fatal|fail|exit|status|expected|undefined|null|ts\d|^e"
@@ -45,13 +46,26 @@ def atom(start: Column, text: Column, kind: Column, *tags: str) -> Column:
     )
 
 
+KEEP = ["history_id", "source_id", "sequence", "role", "trusted", "untrusted"]
+
+
+def _ended(raw: Column) -> Column:
+    """A line without its end."""
+    return F.regexp_replace(raw, r"[\r\n]+\z", "")
+
+
+def _starts(raws: Column) -> Column:
+    return tx.folded(raws, F.lit(0), lambda at, raw, _: (at + F.length(raw), F.array(at)))
+
+
 def lines(records: DataFrame) -> DataFrame:
     """One row per line with its place in the content; blank lines stay."""
-    keep = ["history_id", "source_id", "sequence", "role", "trusted", "untrusted"]
-    own = records.select(*keep, F.posexplode(tx.line_array(F.coalesce("content", F.lit("")))).alias("pos", "raw"))
-    before = Window.partitionBy("history_id", "source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int")
-    return own.select(*keep, "pos", start.alias("line_start"), F.regexp_replace("raw", r"[\r\n]+\z", "").alias("line"))
+
+    def told(raws: Column) -> Column:
+        return tx.bound(_starts(raws), lambda at: F.transform(raws, lambda raw, k: F.struct(F.get(at, k).alias("line_start"), raw.alias("raw"))))
+
+    own = unnest(records, KEEP, tx.bound(tx.line_array(F.coalesce("content", F.lit(""))), told), "l", "pos")
+    return own.select(*KEEP, "pos", F.col("l.line_start").alias("line_start"), _ended(F.col("l.raw")).alias("line"))
 
 
 def semicolon_clauses(text: Column) -> Column:
@@ -182,33 +196,61 @@ def _free_atoms(untrusted: Column | None) -> Column:
 
 
 def _once(atoms: Column) -> Column:
-    """The first atom of each span and kind."""
-    same = lambda x, y: (x["start"] == y["start"]) & (x["kind"] == y["kind"]) & (F.length(x["text"]) == F.length(y["text"]))
-    return F.filter(atoms, lambda x, i: ~F.exists(F.slice(atoms, F.lit(1), i), lambda y: same(x, y)))
+    """Atoms without later ones of the same place, kind and length."""
+    same = lambda x, y: (x["start"] == y["start"]) & (x["kind"] == y["kind"]) & (x["n"] == y["n"])
+
+    def told(all_: Column) -> Column:
+        keys = F.transform(all_, lambda a, k: F.struct(a["start"].alias("start"), a["kind"].alias("kind"), F.length(a["text"]).alias("n"), k.alias("k")))
+        first = tx.bound(F.array_sort(keys), lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.coalesce(same(x, F.get(s, i - 1)), F.lit(False))))
+        return F.transform(F.array_sort(F.transform(first, lambda x: x["k"])), lambda k: F.get(all_, k))
 
+    return tx.bound(atoms, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(told(all_)))
 
-def sections(rows: DataFrame, labels: dict[str, str], strict: bool) -> DataFrame:
-    """Each line's label, bullet and the section that reaches it.
+
+def _kind_of(label: Column, labels: dict[str, str], strict: bool) -> Column:
+    """The kind that a label names, if the record's role may state it."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    kind = F.try_element_at(names, F.lower(tx.strip(F.translate(label, "_", " "))))
+    return tx.bound(kind, lambda k: F.when(k.isNotNull() & can_author(k, strict), k))
+
+
+def sections(records: DataFrame, labels: dict[str, str], strict: bool) -> DataFrame:
+    """One row per line with its label, bullet and the section that reaches it.
 
     A section reaches the bullets after its label line; any other line ends it.
     """
-    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+
+    def marked(raw: Column) -> Column:
+        line = _ended(raw)
+        kind = F.when(F.contains(line, F.lit(":")), _kind_of(F.regexp_extract(line, lx.LABEL_LINE, 2), labels, strict))
+        return F.struct(line.alias("line"), kind.alias("label_kind"), F.regexp_extract(line, lx.BULLET, 1).alias("bullet"))
+
+    def step(reach: Column, m: Column, k: Column) -> tuple[Column, Column]:
+        return F.when(m["label_kind"].isNotNull(), k).when(m["bullet"] == "", -1).otherwise(reach), F.array(reach)
+
+    def told(raws: Column) -> Column:
+        def row(at: Column, marks: Column, reach: Column) -> Column:
+            return F.transform(
+                marks,
+                lambda m, k: F.struct(
+                    F.get(at, k).alias("line_start"),
+                    m.alias("m"),
+                    F.when(m["label_kind"].isNull() & (m["bullet"] != ""), F.get(marks, F.nullif(F.get(reach, k), F.lit(-1)))["label_kind"]).alias("section"),
+                ),
+            )
+
+        return tx.bound(_starts(raws), lambda at: tx.bound(F.transform(raws, marked), lambda ms: tx.bound(tx.folded(ms, F.lit(-1), step), lambda reach: row(at, ms, reach))))
+
+    own = unnest(records, KEEP, tx.bound(tx.line_array(F.coalesce("content", F.lit(""))), told), "l", "pos")
+    rows = own.select(*KEEP, "pos", "l.line_start", F.col("l.m.line").alias("line"), F.col("l.m.label_kind").alias("label_kind"), F.col("l.section").alias("section"), F.col("l.m.bullet").alias("_bullet"))
     label = [F.regexp_extract("line", lx.LABEL_LINE, k) for k in range(1, 5)]
-    bullet = [F.regexp_extract("line", lx.BULLET, k) for k in (1, 2)]
-    folded = F.lower(tx.strip(F.translate(label[1], "_", " ")))
-    rows = rows.withColumns({"_kind": F.try_element_at(names, folded), "_bullet": bullet[0]})
-    rows = rows.withColumn("label_kind", F.when(F.col("_kind").isNotNull() & can_author(F.col("_kind"), strict), F.col("_kind")))
-    marker = F.when(F.col("label_kind").isNotNull(), F.col("label_kind")).when(F.col("_bullet") == "", F.lit(""))
-    before = Window.partitionBy("history_id", "source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_marker", marker).withColumns(
+    named = F.col("label_kind").isNotNull()
+    return rows.withColumns(
         {
-            "section": F.when(
-                F.col("label_kind").isNull() & (F.col("_bullet") != ""), F.nullif(F.last("_marker", True).over(before), F.lit(""))
-            ),
-            "value": F.when(F.col("label_kind").isNotNull(), label[3]).otherwise(bullet[1]),
-            "value_start": F.when(F.col("label_kind").isNotNull(), sum([F.length(c) for c in label[:3]], F.lit(0))).otherwise(F.length(bullet[0])),
+            "value": F.when(named, label[3]).otherwise(F.regexp_extract("line", lx.BULLET, 2)),
+            "value_start": F.when(named, sum([F.length(c) for c in label[:3]], F.lit(0))).otherwise(F.length("_bullet")),
         }
-    )
+    ).drop("_bullet")
 
 
 def _stated(start: Column, value: Column, kind: Column, tag: Column) -> Column:
@@ -231,7 +273,7 @@ def _stated(start: Column, value: Column, kind: Column, tag: Column) -> Column:
 
 def items_of(rows: DataFrame, atoms: Column, extractor: str) -> DataFrame:
     """Items from an array of atoms whose starts count from the line."""
-    one = rows.select("history_id", "source_id", "sequence", "role", "line_start", F.explode(atoms).alias("a"))
+    one = unnest(rows, ["history_id", "source_id", "sequence", "role", "line_start"], atoms, "a")
     start = F.col("line_start") + F.col("a.start")
     priority = F.element_at(F.create_map(*[F.lit(x) for k, v in lx.KINDS.items() for x in (k, v)]), F.col("a.kind"))
     priority = F.least(F.lit(100), priority + F.when(F.col("role") == "user", lx.USER_BONUS).otherwise(0))
@@ -266,7 +308,7 @@ def extract(records: DataFrame, protected_only: bool = False, strict: bool = Fal
     Null content counts as empty. strict holds back state claims of records marked untrusted.
     protected_only keeps the kinds that a ledger may never lose (P3).
     """
-    rows = sections(lines(records), DEFAULT_LABELS, strict)
+    rows = sections(records, DEFAULT_LABELS, strict)
     trusted = in_role(F.col("role"), lx.STATE_ROLES) | F.col("trusted")
     untrusted = F.col("untrusted") if strict else None
     stated_kind = F.coalesce("label_kind", "section")
@@ -306,7 +348,7 @@ def extract_labels(records: DataFrame, labels: dict[str, str], name: str = "doma
         folded[key] = kind
     if not 1 <= len(folded) <= 256:
         raise ValueError("1 to 256 labels are allowed")
-    rows = sections(lines(records), folded, strict)
+    rows = sections(records, folded, strict)
     kind = F.coalesce("label_kind", "section")
     tag = F.when(kind == "user_correction", F.array(F.lit("explicit-correction-label"))).otherwise(F.array().cast("array<string>"))
     atoms = _stated(F.col("value_start"), F.col("value"), kind, tag)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..functions.tables import unnest
 
 SPOT = "array<struct<start:int,end:int,detector:string>>"
+FINDING = "array<struct<start:int,end:int,detector:string,masked:int,line_ends:int>>"
 
 
 def _spot(start: Column, length: Column, name: str) -> Column:
@@ -25,19 +27,22 @@ def pem_spots(content: Column) -> Column:
             m["start"].alias("start"), F.length(m["text"]).alias("size"), F.regexp_extract(m["text"], lx.PEM, 1).alias("side"), F.regexp_extract(m["text"], lx.PEM, 2).alias("label")
         ),
     )
-    first = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("open"), F.array().cast(SPOT).alias("out"))
+    first = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
 
-    def step(s: Column, m: Column) -> Column:
-        known = F.map_contains_key(s["open"], m["label"])
+    def step(open_: Column, m: Column, _: Column) -> tuple[Column, Column]:
+        known = F.map_contains_key(open_, m["label"])
         begins = m["side"] == "BEGIN"
-        start = F.try_element_at(s["open"], m["label"])
         one = F.map_from_arrays(F.array(m["label"]), F.array(m["start"]))
-        return F.struct(
-            F.when(begins & ~known, F.map_concat(s["open"], one)).when(begins, s["open"]).otherwise(F.map_filter(s["open"], lambda k, v: k != m["label"])).alias("open"),
-            F.when(~begins & known, F.concat(s["out"], F.array(_spot(start, m["start"] + m["size"] - start, "pem_private_key")))).otherwise(s["out"]).alias("out"),
-        )
+        after = F.when(begins & ~known, F.map_concat(open_, one)).when(begins, open_).otherwise(F.map_filter(open_, lambda k, v: k != m["label"]))
+        closed = F.array(F.try_element_at(open_, m["label"]), m["start"] + m["size"])
+        return after, F.when(~begins & known, closed).otherwise(F.array().cast("array<int>"))
 
-    return F.aggregate(marks, first, step, lambda s: s["out"])
+    def told(edges: Column) -> Column:  # starts and ends in turn
+        place = F.sequence(F.lit(0), F.size(edges) - 1, F.lit(2))
+        found = F.transform(place, lambda k: _spot(F.get(edges, k), F.get(edges, k + 1) - F.get(edges, k), "pem_private_key"))
+        return F.when(F.size(edges) > 0, found).otherwise(F.array().cast(SPOT))
+
+    return tx.bound(tx.bound(marks, lambda all_: tx.folded(all_, first, step)), told)
 
 
 def _secret_of(name: str, match: Column) -> Column:
@@ -66,9 +71,41 @@ def spots(content: Column, detectors: list[str] = lx.DETECTORS) -> Column:
     ordered = F.array_sort(
         F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("reach"), F.element_at(rank, s["detector"]).alias("rank"), s.alias("spot")))
     )
-    first = F.array().cast(SPOT)
-    free = lambda kept, o: (F.size(kept) == 0) | (F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)) <= o["start"])
-    return F.aggregate(ordered, first, lambda kept, o: F.when(free(kept, o), F.concat(kept, F.array(o["spot"]))).otherwise(kept))
+
+    def step(end: Column, o: Column, k: Column) -> tuple[Column, Column]:
+        free = end <= o["start"]
+        return F.when(free, -o["reach"]).otherwise(end), F.when(free, F.array(k)).otherwise(F.array().cast("array<int>"))
+
+    return tx.bound(ordered, lambda all_: F.transform(tx.folded(all_, F.lit(0), step), lambda k: F.get(all_, k)["spot"]))
+
+
+def _cut_out(content: Column, found: Column) -> Column:
+    """array<struct<before, secret>>: the text between each spot and the one before it, and the spot's own.
+
+    Texts are cut in two steps, so that each character is passed over a few times and not once for every spot.
+    """
+
+    def block(all_: Column, k: Column) -> Column:
+        own = F.slice(all_, k * tx.BLOCK + 1, tx.BLOCK)
+        begin = F.when(k == 0, 0).otherwise(F.try_element_at(all_, k * tx.BLOCK)["end"])
+        end = F.element_at(all_, F.least((k + 1) * tx.BLOCK, F.size(all_)))["end"]
+        shape = F.struct(own.alias("own"), begin.alias("begin"), F.substring(content, begin + 1, end - begin).alias("text"))
+
+        def cut(b: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                last = F.when(i == 0, b["begin"]).otherwise(F.try_element_at(b["own"], i)["end"])
+                piece = lambda a, z: F.substring(b["text"], a - b["begin"] + 1, z - a)
+                return F.struct(piece(last, s["start"]).alias("before"), piece(s["start"], s["end"]).alias("secret"))
+
+            return F.transform(b["own"], one)
+
+        return tx.bound(shape, cut)
+
+    def whole(all_: Column) -> Column:
+        last = ((F.size(all_) - 1) / tx.BLOCK).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: block(all_, k)))
+
+    return F.when(F.size(found) > 0, tx.bound(found, whole)).otherwise(F.array().cast("array<struct<before:string,secret:string>>"))
 
 
 def redact(records: DataFrame, mask: str = "*", detectors: list[str] = lx.DETECTORS, limit: int = 10_000) -> DataFrame:
@@ -78,26 +115,29 @@ def redact(records: DataFrame, mask: str = "*", detectors: list[str] = lx.DETECT
     """
     if mask not in lx.MASKS:
         raise ValueError(f"mask must be one of {lx.MASKS}")
-    content = F.col("content")
-    rows = records.withColumn("findings", F.coalesce(spots(content, detectors), F.array().cast(SPOT)))
-    rows = rows.withColumn("findings", F.when(F.size("findings") <= limit, F.col("findings")).otherwise(F.raise_error(F.lit("too many findings in a record")).cast(SPOT)))
-    hidden = lambda s: F.regexp_replace(F.substring(content, s["start"] + 1, s["end"] - s["start"]), f"[^{lx.LINE_ENDS}]", mask)
-    first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda st, s: F.struct(F.concat(st["text"], F.substring(content, st["at"] + 1, s["start"] - st["at"]), hidden(s)).alias("text"), s["end"].alias("at"))
-    masked = F.aggregate("findings", first, step, lambda st: F.concat(st["text"], F.substring(content, st["at"] + 1, F.length(content))))
-    return rows.withColumn("content", F.when(F.size("findings") == 0, content).otherwise(masked))
-
-
-def findings(redacted: DataFrame, original: DataFrame) -> DataFrame:
+    content, spotted, parts = F.col("content"), tx.fresh(records, "spotted"), tx.fresh(records, "parts")
+    rows = records.withColumn(spotted, F.coalesce(spots(content, detectors), F.array().cast(SPOT)))
+    rows = rows.withColumn(spotted, F.when(F.size(spotted) <= limit, F.col(spotted)).otherwise(F.raise_error(F.lit("too many findings in a record")).cast(SPOT)))
+    rows = rows.withColumn(parts, _cut_out(content, F.col(spotted)))
+    kept = f"[{lx.LINE_ENDS}]"
+    shown = F.flatten(F.transform(parts, lambda p: F.array(p["before"], F.regexp_replace(p["secret"], f"[^{lx.LINE_ENDS}]", mask))))
+    tail = F.substring(content, F.try_element_at(F.col(spotted), F.lit(-1))["end"] + 1, F.length(content))
+
+    def told(all_: Column, s: Column, i: Column) -> Column:
+        secret = F.get(all_, i)["secret"]
+        hidden = F.length(F.regexp_replace(secret, kept, ""))
+        return F.struct(s["start"], s["end"], s["detector"], hidden.alias("masked"), (F.length(secret) - hidden).alias("line_ends"))
+
+    found = tx.bound(F.col(parts), lambda all_: F.transform(spotted, lambda s, i: told(all_, s, i)))
+    return rows.withColumn("findings", found.cast(FINDING)).withColumn(
+        "content", F.when(F.size(spotted) == 0, content).otherwise(F.concat(F.array_join(shown, ""), tail))
+    ).drop(spotted, parts)
+
+
+def findings(redacted: DataFrame) -> DataFrame:
     """One row per masked secret with its count of masked characters and kept line ends."""
-    texts = original.select("history_id", "source_id", F.col("content").alias("before"))
-    rows = redacted.where(F.size("findings") > 0).select("history_id", "source_id", "sequence", F.explode("findings").alias("f")).join(texts, ["history_id", "source_id"])
-    secret = F.substring("before", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
-    ends = F.length(F.regexp_replace(secret, f"[^{lx.LINE_ENDS}]", ""))
-    return rows.select(
-        "history_id", "source_id", "sequence", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.detector").alias("detector"),
-        (F.length(secret) - ends).alias("masked"), ends.alias("line_ends"),
-    )
+    keep = ["history_id", "source_id", "sequence"]
+    return unnest(redacted, keep, F.col("findings"), "f").select(*keep, "f.*")
 
 
 def report(found: DataFrame) -> DataFrame:

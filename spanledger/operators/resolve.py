@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.tables import settle
+from ..functions.tables import settle, unnest
 
 COLUMNS = [
     "history_id", "id", "kind", "text", "status", "priority", "confidence", "exact", "tags", "supersedes",
@@ -275,7 +275,7 @@ def correction_links(items: DataFrame) -> DataFrame:
     walked = rows.select("history_id", "sequence", "id", entry.alias("entry")).groupBy("history_id").agg(
         F.array_sort(F.collect_list("entry"), lambda a, b: F.when(a["sequence"] < b["sequence"], -1).when(a["sequence"] > b["sequence"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("entries")
     )
-    return walked.select("history_id", F.explode(_walk(F.col("entries"))).alias("l")).select("history_id", "l.*")
+    return unnest(walked, ["history_id"], _walk(F.col("entries")), "l").select("history_id", "l.*")
 
 
 def link_corrections(items: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def closing_links(items: DataFrame) -> DataFrame:
             ).otherwise(state),
         )
 
-    return walked.select("history_id", F.explode(F.aggregate("entries", first, step, lambda s: s["links"])).alias("l")).select("history_id", "l.*")
+    return unnest(walked, ["history_id"], F.aggregate("entries", first, step, lambda s: s["links"]), "l").select("history_id", "l.*")
 
 
 def close_questions(items: DataFrame) -> DataFrame:

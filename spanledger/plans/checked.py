@@ -150,7 +150,7 @@ SELECT 'u' || CAST(c_custkey AS STRING) AS history_id, CAST(length(c_name || ' '
 def redact_spans(spark, sf_dir):
     """The nine detectors' findings with their places, overlaps included."""
     rows = derived.records(spark, sf_dir, _LETTERS, "customer")
-    return redact.findings(redact.redact(rows), rows).select("history_id", "start", "end", "detector", "masked", "line_ends")
+    return redact.findings(redact.redact(rows)).select("history_id", "start", "end", "detector", "masked", "line_ends")
 
 
 @query(f"""

@@ -238,7 +238,7 @@ def test_redaction_X1_to_X5(spark):
     assert len(got[0]) == len(text) and got[1:] == ["nothing", None] and "hunter22" not in got[0] and got[0].count("\n") == 2
     for kept in ("password: '", "api_key=", "Bearer ", "https://", "@h", "😀"):
         assert kept in got[0]
-    names = [x.detector for x in redact.findings(out, df).orderBy("start").collect()]
+    names = [x.detector for x in redact.findings(out).orderBy("start").collect()]
     assert names == ["pem_private_key", "credential_assignment", "credential_assignment", "bearer_token", "url_userinfo", "github_token"]
     assert redact.verify_redaction(df, out).count() == 0 and redact.verify_redaction(df, df).count() == 2
 
@@ -505,3 +505,53 @@ def test_records_without_a_sequence_follow_the_last_ST1(spark):
     with pytest.raises(Exception, match="collision"):
         archive.append(held, ingest.numbered(changed, held)).collect()
     assert ingest.numbered(batch.limit(0), held).collect() == []
+
+
+# ---- long texts, many matches ----
+
+
+def test_pieces_and_matches_of_many_cells_equal_plain_ones(spark):
+    from spanledger.functions import text as tx
+
+    for text in ("", ";", "a;b", "é; " * 20_000, "x\u0001;" * 700, ";" * 129, "ab; " * 127 + "ab"):
+        row = spark.createDataFrame([(text,)], "t string").select(tx.pieces(F.col("t"), ";").alias("p"), tx.matches(F.col("t"), "[^; ]+").alias("m")).first()
+        want, at = [], 0
+        for piece in text.split(";"):
+            want.append((at, piece))
+            at += len(piece) + 1
+        got = [(x.start - k, x.text) for k, x in enumerate(row.p)]
+        assert [(s + k, t) for k, (s, t) in enumerate(got)] == [(s, t) for s, t in want]
+        assert [(x.start, x.text) for x in row.m] == [(m.start(), m.group()) for m in re.finditer(r"[^; ]+", text)]
+
+
+def test_redaction_of_thousands_of_secrets_in_a_text(spark):
+    secret = "sk-abcdefghijklmnopqrstuvwx"
+    text = f"é key {secret};\n" * 3000
+    pem = "-----BEGIN PRIVATE KEY-----\nab\ncd\n-----END PRIVATE KEY-----\n"
+    df = spark.createDataFrame([("h", "a", 1, text), ("h", "b", 2, pem * 300), ("h", "c", 3, None), ("h", "d", 4, "")], "history_id string, source_id string, sequence long, content string")
+    out = redact.redact(df)
+    got = {x.source_id: x for x in out.collect()}
+    assert got["a"].content == text.replace(secret, "*" * len(secret)) and len(got["a"].findings) == 3000
+    assert got["b"].content == re.sub(r"[^\n]", "*", pem) * 300 and got["c"].content is None and got["d"].content == ""
+    rows = redact.findings(out).collect()
+    assert len(rows) == 3300 and {(x.masked, x.line_ends) for x in rows} == {(len(secret), 0), (len(pem) - 4, 3)}
+
+
+def test_lines_and_sections_are_found_without_a_shuffle(spark):
+    rows = [("h", "s", 1, "user", "goals:\n- one\n\n- two\r\nplain\n- three\nconstraints: x; y\n- z", False, False)]
+    records = spark.createDataFrame(rows, "history_id string, source_id string, sequence long, role string, content string, trusted boolean, untrusted boolean")
+    out = extract.sections(records, extract.DEFAULT_LABELS, False)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(x.pos, x.line_start, x.line, x.section) for x in out.orderBy("pos").collect()]
+    text, at, want = rows[0][4], 0, []
+    for k, (line, section) in enumerate(zip(text.splitlines(True), [None, "goal", None, None, None, None, None, "constraint"], strict=True)):
+        want.append((k, at, line.rstrip("\r\n"), section))
+        at += len(line)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got][1] == "goal" and [x[3] for x in got][5] is None and [x[3] for x in got][7] == "constraint"
+
+
+def test_repeated_atoms_count_once(spark):
+    atoms = "array(" + ",".join(f"named_struct('start', {s}, 'text', '{t}', 'kind', '{k}', 'tags', array(), 'exact', false)" for s, t, k in [(3, "ab", "goal"), (0, "x", "goal"), (3, "cd", "goal"), (3, "ab", "fact"), (0, "y", "goal")]) + ")"
+    got = spark.range(1).select(extract._once(F.expr(atoms)).alias("a")).first().a
+    assert [(x.start, x.text, x.kind) for x in got] == [(3, "ab", "goal"), (0, "x", "goal"), (3, "ab", "fact")]
