@@ -500,12 +500,12 @@ def stream_ingest(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import bounds, checked  # noqa: F401  register more of them
+    from . import bounds, checked, live  # noqa: F401  register more of them
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import bounds, checked  # noqa: F401
+    from . import bounds, checked, live  # noqa: F401
 
     return dict(SQL)
