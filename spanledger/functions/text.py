@@ -170,6 +170,17 @@ def json_depth(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["most"])
 
 
+def strict_json(text: Column) -> Column:
+    """A JSON text as a variant; null if it is none, repeats a key or has anything behind its value.
+
+    The parser stops behind the first value. In brackets and in braces the text must parse as
+    well: whatever closes one of them early breaks the other, and more values make a longer array.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & held.isNotNull(), F.try_parse_json(text))
+
+
 def has_long_integer(text: Column, digits: int = 640) -> Column:
     """Whether a JSON text holds an integer of more digits, outside of strings."""
     return like(F.regexp_replace(text, F.lit(_QUOTED), F.lit("")), rf"(?<![\d.eE+])\d{{{digits + 1},}}(?![\d.eE])")

@@ -52,7 +52,7 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = True, limits:
 
 def _strict(text: Column, limits: Limits) -> Column:
     """The text as a variant, or a failed job."""
-    value = F.try_parse_json(text)
+    value = tx.strict_json(text)
     deep = tx.json_depth(text) > limits.max_depth
     said = F.when(deep, "nested too deep").when(tx.has_long_integer(text, limits.max_digits), "integer too long").when(value.isNull(), "not strict JSON")
     return F.when(said.isNull(), value).otherwise(F.raise_error(said).cast("void"))
@@ -69,7 +69,7 @@ def _detected(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     raw = spark.read.option("wholetext", "true").text(path)
     raw = raw.select(F.regexp_replace("value", "\\A\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     raw = raw.withColumn("value", _guard(F.octet_length("value") <= limits.max_total_bytes, "file too large", F.col("value")))
-    by_line = F.endswith("file", F.lit(".jsonl")) | F.try_parse_json("value").isNull()
+    by_line = F.endswith("file", F.lit(".jsonl")) | tx.strict_json(F.col("value")).isNull()
     texts = F.when(by_line, F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).otherwise(F.array("value"))
     rows = raw.select("file", "row", by_line.alias("by_line"), F.posexplode(texts).alias("line", "value"))
     rows = rows.withColumn("value", _guard(~F.col("by_line") | (F.length("value") <= limits.max_line_chars), "line too long", F.col("value")))
