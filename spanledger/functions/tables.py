@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import wraps
+from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,23 @@ def unnest(rows: DataFrame, keep: list[str | Column], array: Column, name: str,
     """
     told = F.explode_outer(array).alias(name) if place is None else F.posexplode_outer(array).alias(place, name)
     return rows.select(*keep, told).where(F.col(name if place is None else place).isNotNull())
+
+
+_REMEMBERED: dict[tuple, Any] = {}
+
+
+def remembered(build: Callable[..., Any]) -> Callable[..., Any]:
+    """Builds column expressions once for each list of arguments.
+
+    Expressions only name columns, so they hold for any table; every step of building one is a
+    call into the JVM, and the rules take thousands of them.
+    """
+
+    @wraps(build)
+    def told(*args):
+        key = (id(SparkContext._gateway), build.__module__, build.__qualname__, args)
+        if key not in _REMEMBERED:
+            _REMEMBERED[key] = build(*args)
+        return _REMEMBERED[key]
+
+    return told

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.tables import unnest
+from ..functions.tables import remembered, unnest
 
 #: Some word of every diagnostic, in lower case: a text without any holds none.
 ERROR_HINT = r"error|exception|traceback|fault|panic|fatal|fail|exit|status|expected|undefined|null|ts\d|^e"
@@ -214,15 +214,13 @@ def _kind_of(label: Column, labels: dict[str, str], strict: bool) -> Column:
     return tx.bound(kind, lambda k: F.when(k.isNotNull() & can_author(k, strict), k))
 
 
-def sections(records: DataFrame, labels: dict[str, str], strict: bool) -> DataFrame:
-    """One row per line with its label, bullet and the section that reaches it.
-
-    A section reaches the bullets after its label line; any other line ends it.
-    """
+@remembered
+def _section_rows(labels: tuple[tuple[str, str], ...], strict: bool) -> Column:
+    """array<struct<line_start, m: struct<line, label_kind, bullet>, section>> of a content's lines."""
 
     def marked(raw: Column) -> Column:
         line = _ended(raw)
-        kind = F.when(F.contains(line, F.lit(":")), _kind_of(F.regexp_extract(line, lx.LABEL_LINE, 2), labels, strict))
+        kind = F.when(F.contains(line, F.lit(":")), _kind_of(F.regexp_extract(line, lx.LABEL_LINE, 2), dict(labels), strict))
         return F.struct(line.alias("line"), kind.alias("label_kind"), F.regexp_extract(line, lx.BULLET, 1).alias("bullet"))
 
     def step(reach: Column, m: Column, k: Column) -> tuple[Column, Column]:
@@ -241,7 +239,15 @@ def sections(records: DataFrame, labels: dict[str, str], strict: bool) -> DataFr
 
         return tx.bound(_starts(raws), lambda at: tx.bound(F.transform(raws, marked), lambda ms: tx.bound(tx.folded(ms, F.lit(-1), step), lambda reach: row(at, ms, reach))))
 
-    own = unnest(records, KEEP, tx.bound(tx.line_array(F.coalesce("content", F.lit(""))), told), "l", "pos")
+    return tx.bound(tx.line_array(F.coalesce("content", F.lit(""))), told)
+
+
+def sections(records: DataFrame, labels: dict[str, str], strict: bool) -> DataFrame:
+    """One row per line with its label, bullet and the section that reaches it.
+
+    A section reaches the bullets after its label line; any other line ends it.
+    """
+    own = unnest(records, KEEP, _section_rows(tuple(labels.items()), strict), "l", "pos")
     rows = own.select(*KEEP, "pos", "l.line_start", F.col("l.m.line").alias("line"), F.col("l.m.label_kind").alias("label_kind"), F.col("l.section").alias("section"), F.col("l.m.bullet").alias("_bullet"))
     label = [F.regexp_extract("line", lx.LABEL_LINE, k) for k in range(1, 5)]
     named = F.col("label_kind").isNotNull()
@@ -271,16 +277,15 @@ def _stated(start: Column, value: Column, kind: Column, tag: Column) -> Column:
     )
 
 
-def items_of(rows: DataFrame, atoms: Column, extractor: str) -> DataFrame:
-    """Items from an array of atoms whose starts count from the line."""
-    one = unnest(rows, ["history_id", "source_id", "sequence", "role", "line_start"], atoms, "a")
+@remembered
+def _item_columns(extractor: str) -> list[Column | str]:
     start = F.col("line_start") + F.col("a.start")
     priority = F.element_at(F.create_map(*[F.lit(x) for k, v in lx.KINDS.items() for x in (k, v)]), F.col("a.kind"))
     priority = F.least(F.lit(100), priority + F.when(F.col("role") == "user", lx.USER_BONUS).otherwise(0))
     end = start + F.length("a.text")
     span = F.struct(F.col("source_id"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.col("a.text").alias("quote"))
     none = F.array().cast("array<string>")
-    return one.select(
+    return [
         "history_id",
         F.concat(F.lit("m-"), F.left(tx.hash_of(F.col("a.kind"), F.lower("a.text"), F.col("source_id"), start, end), F.lit(24))).alias("id"),
         F.col("a.kind").alias("kind"),
@@ -296,42 +301,52 @@ def items_of(rows: DataFrame, atoms: Column, extractor: str) -> DataFrame:
         "sequence",
         F.array(F.lower("role")).alias("roles"),
         F.array(F.lit(extractor)).alias("extractors"),
-    )
+    ]
 
 
-DEFAULT_LABELS = {label: kind for kind, names in lx.LABELS.items() for label in names}
+def items_of(rows: DataFrame, atoms: Column, extractor: str) -> DataFrame:
+    """Items from an array of atoms whose starts count from the line."""
+    one = unnest(rows, ["history_id", "source_id", "sequence", "role", "line_start"], atoms, "a")
+    return one.select(*_item_columns(extractor))
 
 
-def extract(records: DataFrame, protected_only: bool = False, strict: bool = False) -> DataFrame:
-    """Items of all records by the rules.
+DEFAULT_LABELS = {label: kind for kind, names in lx.LABELS.items() for label in names}
 
-    Null content counts as empty. strict holds back state claims of records marked untrusted.
-    protected_only keeps the kinds that a ledger may never lose (P3).
-    """
-    rows = sections(records, DEFAULT_LABELS, strict)
+
+@remembered
+def _rules(strict: bool) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column], Column]:
+    """What is known of a line, what it is judged to be, the atoms found in it, and those atoms placed in the line."""
     trusted = in_role(F.col("role"), lx.STATE_ROLES) | F.col("trusted")
     untrusted = F.col("untrusted") if strict else None
     stated_kind = F.coalesce("label_kind", "section")
-    rows = rows.withColumns({"body": tx.strip(F.col("line")), "stated_kind": stated_kind, "may_state": trusted & ~untrusted if strict else trusted})
-    rows = rows.where("body <> ''")
+    known = {"body": tx.strip(F.col("line")), "stated_kind": stated_kind, "may_state": trusted & ~untrusted if strict else trusted}
     free = F.col("stated_kind").isNull()
-    rows = rows.withColumns(
-        {
-            "free_kind": F.when(free, classify(F.col("body"), F.col("role"), F.col("may_state"), untrusted)),
-            "semis": F.when(free & F.contains("body", F.lit(";")), semicolon_clauses(F.col("body"))).when(
-                free, F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text")))
-            ),
-        }
-    )
+    judged = {
+        "free_kind": F.when(free, classify(F.col("body"), F.col("role"), F.col("may_state"), untrusted)),
+        "semis": F.when(free & F.contains("body", F.lit(";")), semicolon_clauses(F.col("body"))).when(
+            free, F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text")))
+        ),
+    }
     tag = F.when(F.col("label_kind") == "user_correction", F.array(F.lit("explicit-correction-label"))).otherwise(F.array().cast("array<string>"))
     stated = _stated(F.col("value_start"), F.col("value"), F.col("stated_kind"), tag)
     lead = F.length("line") - F.length(tx.lstrip(F.col("line")))
-    rows = rows.withColumns({"lead": lead, "found": F.when(free, _free_atoms(untrusted)).otherwise(stated)})
+    found = {"lead": lead, "found": F.when(free, _free_atoms(untrusted)).otherwise(stated)}
     moved = F.transform(
         "found",
         lambda a: F.struct((a["start"] + F.when(free, F.col("lead")).otherwise(0)).cast("int").alias("start"), a["text"].alias("text"), a["kind"].alias("kind"), a["tags"].alias("tags"), a["exact"].alias("exact")),
     )
-    atoms = _once(moved)
+    return known, judged, found, _once(moved)
+
+
+def extract(records: DataFrame, protected_only: bool = False, strict: bool = False) -> DataFrame:
+    """Items of all records by the rules.
+
+    Null content counts as empty. strict holds back state claims of records marked untrusted.
+    protected_only keeps the kinds that a ledger may never lose (P3).
+    """
+    rows = sections(records, DEFAULT_LABELS, strict)
+    known, judged, found, atoms = _rules(strict)
+    rows = rows.withColumns(known).where("body <> ''").withColumns(judged).withColumns(found)
     out = items_of(rows, atoms, "rules")
     return out.where(F.col("kind").isin(lx.PROTECTED)) if protected_only else out
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.tables import settle, unnest
+from ..functions.tables import remembered, settle, unnest
 
 COLUMNS = [
     "history_id", "id", "kind", "text", "status", "priority", "confidence", "exact", "tags", "supersedes",
@@ -62,14 +62,14 @@ def canonicalize(items: DataFrame) -> DataFrame:
     )
 
 
-def traits(items: DataFrame) -> DataFrame:
-    """What the rules need to know of each text, found once."""
+@remembered
+def _traits() -> tuple[dict[str, Column], dict[str, Column], Column]:
     text = F.col("text")
     toks = tx.token_set(text)
     after = F.nullif(F.regexp_extract(text, lx.DATABASE_AFTER, 1), F.lit(""))
     database = F.coalesce(F.nullif(F.regexp_extract(text, lx.DATABASE, 1), F.lit("")), after)
     scopes = F.create_map(*[F.lit(x) for k, v in lx.SCOPES.items() for x in (k, v)])
-    return items.withColumns(
+    return (
         {
             "tokens": toks,
             "negated": tx.like(text, lx.NEGATION),
@@ -81,14 +81,20 @@ def traits(items: DataFrame) -> DataFrame:
             "commitments": F.size(F.regexp_extract_all(text, F.lit(lx.COMMITMENT), F.lit(0))),
             "confirms": tx.like(text, lx.CONFIRMATION),
             "exclusive": tx.like(text, lx.EXCLUSIVE) & ~tx.like(text, lx.NOT_EXCLUSIVE),
-        }
-    ).withColumns(
+        },
         {
             "scope": F.array_distinct(F.filter(F.transform("tokens", lambda t: F.try_element_at(scopes, t)), lambda s: s.isNotNull())),
             "numbers": F.filter("tokens", lambda t: t.rlike(r"(?U)\d")),
             "words": F.filter("tokens", lambda t: ~t.rlike(r"(?U)\d")),
-        }
-    ).withColumn("scope", F.when(F.size("scope") == 1, F.get("scope", F.lit(0))))
+        },
+        F.when(F.size("scope") == 1, F.get("scope", F.lit(0))),
+    )
+
+
+def traits(items: DataFrame) -> DataFrame:
+    """What the rules need to know of each text, found once."""
+    first, second, scope = _traits()
+    return items.withColumns(first).withColumns(second).withColumn("scope", scope)
 
 
 #: What a pair of items is judged by.
