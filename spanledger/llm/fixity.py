@@ -4,7 +4,7 @@ Records are hashed where they lie. Ordered ranges of record numbers, which are o
 of offsets in the archive, are hashed into a tree: a node's digest covers its children's
 digests in order, and the node knows how many bytes and records lie below it. Two replicas
 are compared from the roots down; at each level only the children of nodes that differ are
-read. Offsets are found on the same way, from the sizes of the siblings before.
+compared, though the level, a row for each node, is scanned to find them. Offsets are found on the same way, from the sizes of the siblings before.
 """
 
 from __future__ import annotations
@@ -41,11 +41,15 @@ def leaves(records: DataFrame, key: str, record: Column) -> DataFrame:
     """One leaf per record number: node, digest, n_bytes, n_records.
 
     Rows that repeat a number form one leaf, whose digest is that of the sum of the rows'
-    hashes in five slices: it needs no order and is summed map-side.
+    hashes in five slices: it needs no order and is summed map-side, and corruption is located
+    no closer than the number. Rows without a number share one that stands before all others. A
+    null record counts as an empty one; a record of any length is hashed where it lies. Other
+    columns are ignored; no rows give no leaves.
     """
+    record = F.coalesce(record.cast("binary"), F.lit(b""))
     hashed = records.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("node"),
-        F.sha2(record.cast("binary"), 256).alias("h"),
+        F.sha2(record, 256).alias("h"),
         F.octet_length(record).cast("long").alias("size"),
     )
     slices = [F.conv(F.substring("h", 1 + 13 * k, 13), 16, 10).cast("decimal(38,0)") for k in range(5)]
@@ -95,7 +99,8 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     node, status (altered, missing in the right replica, or extra there), start (offset in the
     left replica of the record or of where it would stand), n_bytes, digest and other_digest.
-    Equal replicas give no rows, and then only the roots are read.
+    Equal replicas give no rows, nor do two empty ones; of a replica beside an empty one every
+    record is missing or extra.
     """
     left, right = cut(left), cut(right)
     height = height_of(left, right)

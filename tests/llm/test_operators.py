@@ -834,3 +834,14 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
     long = "ab" * 5000
     assert coder.ids(long + " " + long).tolist()[:-1] == coder.tokenizer.encode(long + " " + long, add_special_tokens=False).ids
     assert max(map(len, [*coder.young, *coder.words]), default=0) <= token_bits.SHORT
+
+
+def test_fixity_of_null_long_and_missing_records_beside_other_columns(spark):
+    schema = "page_id long, r string, digest string, node long, n_bytes long"
+    rows = [(1, "a"), (2, None), (None, "n"), (3, "c"), (3, "d"), (4, "x" * 3_000_000), (5, "")]
+    make = lambda own: fixity.leaves(spark.createDataFrame([(*x, "d", 9, 9) for x in own], schema), "page_id", F.col("r"))
+    assert fixity.audit(make(rows), make(rows)).collect() == []
+    assert fixity.audit(make(rows), make([])).count() == 6 and fixity.audit(make([]), make([])).count() == 0
+    other = [(k, (t or "") + "y" if k in (4, 2) else t) for k, t in rows]
+    assert [x.status for x in fixity.audit(make(rows), make(other)).collect()] == ["altered", "altered"]
+    assert fixity.audit(make(rows), make([(k, t or "") for k, t in rows])).count() == 0
