@@ -123,7 +123,9 @@ def _every_other(cells: Column, first: int) -> Column:
         starts = folded(all_, F.lit(0), lambda at, cell, _: (at + F.length(cell), F.array(at)))
         place = F.sequence(F.lit(first), F.size(all_) - 1, F.lit(2))
         found = bound(starts, lambda at: F.transform(place, lambda k: F.struct(F.get(at, k).alias("start"), F.get(all_, k).alias("text"))))
-        return F.when(F.size(all_) > first, found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
+        lone = F.array(F.struct(F.lit(0).alias("start"), F.get(all_, F.lit(0)).alias("text")))
+        few = F.when(F.size(all_) == 1, lone) if first == 0 else F.when(F.size(all_) < 2, F.array().cast("array<struct<start:int,text:string>>"))
+        return few.otherwise(found)
 
     return F.when(cells.isNotNull(), bound(cells, told))
 
