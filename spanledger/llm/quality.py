@@ -2,9 +2,11 @@
 
 Every pair of a document marked 1 and one marked 0 is a preference. The chance that i is
 preferred to j is the logistic function of f(i) - f(j), f linear in features of the text, so
-training minimises the logistic loss on feature differences. The threshold is a quantile of
-the training documents' scores: the share marked 0, weighted back to all labelled rows. The
-reported score is a logistic function of f, moved so that this quantile scores 0.7.
+training minimises the logistic loss on feature differences. All labelled documents outside
+the held-out fold take part: they are dealt into groups by a hash of the id, each group is
+fitted on its own pairs, and the weights are averaged. The threshold is a quantile of the
+training documents' scores: the share marked 0, found exactly over all of them. The reported
+score is a logistic function of f, moved so that this quantile scores 0.7.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, fold, labelled_texts, parts
+from .common import cut, field, fits, fold, parts
 
 THRESHOLD = 0.7
-#: Training documents of each class at most, characters of all of them, and steps of training.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 1 << 26
+#: Training documents of a group, about, and steps of training in each.
+GROUP_ROWS = 8192
 STEPS = 1500
+#: Bins of a pass that looks for the threshold, and how many scores are looked through at last.
+CUT_BINS, CUT_ROWS = 1024, 4096
 #: Bytes from which a text is taken in parts.
 LONG = 1 << 20
 BINS = 12
@@ -102,13 +106,9 @@ def expand(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.concatenate([steps.reshape(len(rows), -1), over], 1)
 
 
-def fit(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 0) -> dict:
-    """The model from feature rows, labels and sampling weights; constant scores if a class is missing."""
+def descend(x: np.ndarray, label: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Weights of the expanded features x that make the pairs' logistic loss small; both classes must be there."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return {"edges": None, "value": float(len(good) > 0) if len(rows) else 0.5}
-    edges = np.quantile(rows, np.linspace(0, 1, BINS + 1), axis=0).T.astype(np.float64)
-    x = expand(rows, edges)
     random = np.random.default_rng(seed)
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for step in range(1, STEPS + 1):  # Adam on batches of preference pairs
@@ -118,6 +118,16 @@ def fit(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 0)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         rate = 0.03 * (1 - step / STEPS) + 1e-4
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def fit(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 0) -> dict:
+    """The model from feature rows, labels and weights of one group; constant scores if a class is missing."""
+    if len(np.unique(label)) < 2:
+        return {"edges": None, "value": float((label == 1).any()) if len(rows) else 0.5}
+    edges = np.quantile(rows, np.linspace(0, 1, BINS + 1), axis=0).T.astype(np.float64)
+    x = expand(rows, edges)
+    w = descend(x, label, seed)
     raw = x @ w
     order = np.argsort(raw, kind="stable")
     reached = np.cumsum(weight[order]) / weight.sum()
@@ -139,21 +149,79 @@ def score(model: dict, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> dict:
-    """Learn from a bounded sample of the labelled documents outside the held-out fold."""
-    sample = labelled_texts(docs, labels, "quality", fold(folds) != held, TRAIN_ROWS, TRAIN_CHARS)
+def labelled(docs: DataFrame, labels: DataFrame, keep: Column) -> DataFrame:
+    """(doc_id, label, x) of every labelled document that is kept, x its features; computed once.
+
+    Labels other than 0 and 1 and null ids are ignored; contradicting labels of a document
+    count as 1. Of rows that repeat an id one counts, the one with the smallest text hash; a
+    null text is empty.
+    """
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & keep)
+    told = cut(told.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")))
 
     @F.pandas_udf("array<float>")
     def shaped(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    rows = sample.select("label", "weight", shaped("text").alias("x")).collect()
-    if not rows:
-        return fit(np.zeros((0, 1)), np.zeros(0), np.zeros(0))
-    x = np.array([r["x"] for r in rows], np.float32)
-    order = np.lexsort(x.T)  # the rows' order must not decide
-    label, weight = np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows])
-    return fit(x[order], label[order], weight[order])
+    text = F.coalesce("text", F.lit(""))
+    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text.alias("text"))
+    few = fits(told)
+    own = own.join(F.broadcast(told.select("doc_id")), "doc_id", "left_semi") if few else own
+    rows = own.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), shaped("text").alias("x")).alias("row"))
+    # Features are shuffled, texts are not.
+    rows = rows.join(F.broadcast(told) if few else told, "doc_id").groupBy("doc_id", "label").agg(F.min("row").alias("row"))
+    return cut(rows.select("doc_id", "label", F.col("row.x").alias("x")))
+
+
+def _cut_at(raw: DataFrame, place: int) -> float:
+    """The score at a place (from 0) of all scores in order, found by counting in ever narrower bins."""
+    low, high, before = *raw.agg(F.min("raw"), F.max("raw")).first(), 0
+    while high > low:
+        own = raw.where(F.col("raw").between(low, high))
+        bin_ = F.least(F.lit(CUT_BINS - 1), F.floor((F.col("raw") - low) / (high - low) * CUT_BINS)).alias("bin")
+        counts = sorted(own.groupBy(bin_).agg(F.count("*"), F.min("raw"), F.max("raw")).collect())
+        for _, n, least, most in counts:
+            if before + n > place:
+                low, high = least, most
+                break
+            before += n
+        if n <= CUT_ROWS:
+            return sorted(r["raw"] for r in raw.where(F.col("raw").between(low, high)).collect())[place - before]
+    return low
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> dict:
+    """Learn from all labelled documents outside the held-out fold."""
+    rows = labelled(docs, labels, fold(folds) != held)
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return {"edges": None, "value": float(1 in n) if n else 0.5}
+    width = len(features(""))
+    shares = [k / BINS for k in range(BINS + 1)]
+    edges = np.array(rows.agg(*[F.percentile_approx(F.get("x", F.lit(k)), shares, 10_000).alias(f"q{k}") for k in range(width)]).first(), np.float64)
+    # A group must have both classes: each class is dealt out to no more groups than its rows fill.
+    groups = max(1, min(round(sum(n.values()) / GROUP_ROWS), min(n.values()) // 64))
+
+    def fitted(own: pd.DataFrame) -> pd.DataFrame:
+        x, label = np.stack(own["x"].to_numpy()).astype(np.float32), own["label"].to_numpy()
+        order = np.lexsort((label, *x.T))  # the rows' order must not decide
+        if len(np.unique(label)) < 2:
+            return pd.DataFrame({"n": [], "w": []})
+        return pd.DataFrame({"n": [len(x)], "w": [descend(expand(x[order], edges), label[order])]})
+
+    group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("group")), F.lit(groups)).alias("group")
+    told = sorted((r["n"], r["w"]) for r in rows.select("label", "x", group).groupBy("group").applyInPandas(fitted, "n long, w array<double>").collect())
+    w = np.average([t[1] for t in told], axis=0, weights=[t[0] for t in told])
+
+    @F.pandas_udf("double")
+    def rawly(xs: pd.Series) -> pd.Series:
+        # Row by row, since a product's last bits depend on how many rows it takes at once.
+        return pd.Series([float(expand(np.asarray(x, np.float32)[None, :], edges)[0] @ w) for x in xs])
+
+    raw = cut(rows.select(rawly("x").alias("raw")))
+    last, low = sum(n.values()) - 1, n[0] - 1
+    cut_ = (_cut_at(raw, low) + _cut_at(raw, min(low + 1, last))) / 2
+    return {"edges": edges, "w": w, "cut": cut_, "scale": 4 / max(raw.agg(F.stddev_pop("raw")).first()[0], 1e-9)}
 
 
 def learned(model: dict) -> bool:

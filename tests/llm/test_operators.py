@@ -431,6 +431,26 @@ def test_quality_of_repeats_clashing_names_and_long_texts(spark):
     assert 5 < len(bounded) < 120 and sum(len(x.text) for x in bounded) <= 4000 and abs(sum(x.weight for x in bounded) - 120) < 1e-6
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    rng = random.Random(3)
+    words = lambda good: " ".join(rng.choice(["stone", "river", "walks"] if good else ["XX", "!!", "9"]) + str(rng.randrange(50)) for _ in range(12))
+    rows = [(k, words(k % 4 > 0)) for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k, _ in rows] + [(3, None), (4, 7), (None, 1)], "doc_id long, quality int")
+    kept = quality.labelled(docs, labels, common.fold(4) != 2)
+    own = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == own and kept.count() == len(own)
+    monkeypatch.setattr(quality, "STEPS", 60)
+    monkeypatch.setattr(quality, "GROUP_ROWS", 2000)
+    monkeypatch.setattr(quality, "CUT_ROWS", 8)
+    model = quality.train(docs, labels)
+    x = np.array([r.x for r in kept.orderBy("doc_id").collect()], np.float32)
+    raw, bad = np.sort(quality.expand(x, model["edges"]) @ model["w"]), sum(k % 4 == 0 for k in own)
+    assert np.isclose(model["cut"], (raw[bad - 1] + raw[bad]) / 2) and np.isclose(model["scale"], 4 / raw.std())
+    got = quality.train(docs.repartition(7), labels)
+    assert got["cut"] == model["cut"] and (got["w"] == model["w"]).all()
+
+
 def test_quality_with_one_class_or_no_labels(spark):
     some = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     one = spark.createDataFrame([(1, "a"), (2, None)], DOCS)
