@@ -37,22 +37,58 @@ def append(archive: DataFrame, incoming: DataFrame, expected: DataFrame | None =
     return joined.where(fresh).select(*incoming.columns)
 
 
+#: Entries that a fold appends to one array before it begins the next.
+BLOCK = 128
+
+
+def _ordered(records: DataFrame) -> DataFrame:
+    """history_id and rs: each history's (sequence, source_id, record) in order."""
+    rows = records.select("history_id", F.struct("sequence", "source_id", record_hash(records.columns).alias("record")).alias("r"))
+    return rows.groupBy("history_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+
+
+def _walk(rs: Column, places: Column, before: Column) -> Column:
+    """The last entry over the records at consecutive places, from the entry before them."""
+    return F.aggregate(places, before, lambda entry, i: entry_hash(i, entry, F.get(rs, i)["record"]))
+
+
+def heads(records: DataFrame) -> DataFrame:
+    """A2: history_id and head alone. The fold carries one entry, so its cost follows the number of records."""
+    head = lambda rs: _walk(rs, F.sequence(F.lit(0), F.size(rs) - 1), F.lit(lx.GENESIS))
+    return _ordered(records).select("history_id", tx.bound(F.col("rs"), head).alias("head"))
+
+
 def chain(records: DataFrame) -> DataFrame:
     """A2: history_id and head, and the chain as entries (position, previous, entry) by sequence.
 
     An entry's hash covers its position, the entry before and the record, so a history is
-    folded in order; histories are independent of each other.
+    folded in order; histories are independent of each other. What a fold carries is copied at
+    every step: a first pass keeps the entry before each block, a second lists every block's
+    own entries from there.
     """
-    rows = records.select("history_id", F.struct("sequence", "source_id", record_hash(records.columns).alias("record")).alias("r"))
-    ordered = rows.groupBy("history_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(lx.GENESIS).alias("head"), F.array().cast("array<struct<source_id:string,position:int,previous:string,entry:string>>").alias("entries"))
 
-    def link(s: Column, r: Column) -> Column:
-        entry = entry_hash(F.size(s["entries"]), s["head"], r["record"])
-        one = F.struct(r["source_id"].alias("source_id"), F.size(s["entries"]).alias("position"), s["head"].alias("previous"), entry.alias("entry"))
-        return F.struct(entry.alias("head"), F.concat(s["entries"], F.array(one)).alias("entries"))
+    def listed(rs: Column) -> Column:
+        places = lambda k: F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, F.size(rs)) - 1)
+
+        def skip(s: Column, k: Column) -> Column:
+            return F.struct(_walk(rs, places(k), s["head"]).alias("head"), F.concat(s["starts"], F.array(s["head"])).alias("starts"))
+
+        def link(s: Column, i: Column) -> Column:
+            r = F.get(rs, i)
+            entry = entry_hash(i, s["head"], r["record"])
+            one = F.struct(r["source_id"].alias("source_id"), i.alias("position"), s["head"].alias("previous"), entry.alias("entry"))
+            return F.struct(entry.alias("head"), F.concat(s["entries"], F.array(one)).alias("entries"))
+
+        def block(before: Column, k: Column) -> Column:
+            none = F.array().cast("array<struct<source_id:string,position:int,previous:string,entry:string>>")
+            return F.aggregate(places(k), F.struct(before.alias("head"), none.alias("entries")), link, lambda s: s["entries"])
+
+        first = F.struct(F.lit(lx.GENESIS).alias("head"), F.array().cast("array<string>").alias("starts"))
+        starts = F.aggregate(F.sequence(F.lit(0), ((F.size(rs) - 1) / BLOCK).cast("int")), first, skip, lambda s: s["starts"])
+        return F.flatten(F.transform(starts, block))
 
-    return ordered.select("history_id", F.aggregate("rs", start, link).alias("c")).select("history_id", "c.head", F.col("c.entries").alias("entries"))
+    rows = _ordered(records).select("history_id", tx.bound(F.col("rs"), listed).alias("entries"))
+    return rows.select("history_id", F.element_at("entries", -1)["entry"].alias("head"), "entries")
 
 
 def entry_hash(position: Column, previous: Column, record: Column) -> Column:
